@@ -8,7 +8,7 @@ texts and ids before it and the place of the last end id, which stitches a text
 ``write_tokens`` makes such files with a byte-level vocabulary: blocks are rows of a Parquet table in the shared folder,
 as only Spark's writers reach every store; ``read_flat`` takes plain files. A text's key is kept in file order beside the
 blocks, without its place. Null and empty texts have no tokens; a file's ids after its last end id are an unfinished text.
-Equal keys stay neighbours, ordered by text. An empty table gives no rows.
+Equal rows are counted each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,12 +58,11 @@ def _write(shared, pattern: str, end: int, block: int):
 
 
 def write_tokens(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
-    """(file, block, data, keys): token files of 16-bit ids in ascending order of the key."""
+    """(file, block, data, keys): token files of 16-bit ids, one for each partition of the texts, in their order. Nothing is shuffled."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks))
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "text")
-    return (scratch or Scratch(spark, "tokens")).store(dealt.mapInArrow(_write(shared, pattern, end, block), "file long, block long, data binary, keys array<long>"), "files")
+    return (scratch or Scratch(spark, "tokens")).store(docs.mapInArrow(_write(shared, pattern, end, block), "file long, block long, data binary, keys array<long>"), "files")
 
 
 def read_flat(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
