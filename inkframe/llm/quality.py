@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from inkframe.llm import kernels as K
 
 BUCKETS = 1 << 16
+EVIDENCE = 100
 #: Nats per n-gram below which a text is rejected.
 THRESHOLD = -0.15
 #: Integer units of one nat.
@@ -82,8 +83,17 @@ def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return np.zeros(BUCKETS, np.int64)
-    ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    return np.rint(ratio * UNIT).astype(np.int64)
+    return ratios(raw, target)
+
+
+def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Ratio by bucket. Neighbouring buckets are counted together until ``EVIDENCE`` n-grams fall on each on average, else a small corpus would hold its rare words against the texts that have them."""
+    width = 1
+    while width < BUCKETS // 64 and raw.sum() * width < EVIDENCE * BUCKETS:
+        width *= 2
+    r, t = raw.reshape(-1, width).sum(1), target.reshape(-1, width).sum(1)
+    ratio = np.log((t + 1) / (t.sum() + len(t))) - np.log((r + 1) / (r.sum() + len(r)))
+    return np.repeat(np.rint(ratio * UNIT).astype(np.int64), width)
 
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
