@@ -198,6 +198,8 @@ def repeated_spans(packed: DataFrame, s: Scratch) -> DataFrame:
 
     groups = s.store(context.mapInArrow(_groups, "core long, whole long, id long, j long, one boolean, row long, begin long, end long"), "groups")
     twice = groups.where("whole IS NOT NULL").groupBy("whole").agg(F.count("*").alias("m")).where("m > 1").select("whole", F.lit(True).alias("hit"))
+    # partial groups have a key of their own, so that they don't meet in one task
+    groups = groups.withColumn("whole", F.coalesce("whole", F.xxhash64("id", "j")))
     groups = s.store(groups.join(twice, "whole", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "groups2")
     whole = groups.where("one AND hit").select("row", "begin", "end")
     cores = groups.groupBy("core").agg(F.count("*").alias("m"), F.max(F.col("one") & ~F.col("hit")).alias("open")).where("m > 1 AND open").select("core")
