@@ -11,8 +11,8 @@ by then need no further look, as only components are asked for. Columns whose ro
 further leaders while the rest would be more than ``PAIRS`` pairs per row, ``ROUNDS`` times at most, and then all
 pairs across components.
 
-Hot columns come from a table of 2**20 slots with the counts of those far above the mean of their partition. It only
-orders the columns: any order gives the same result.
+Which columns are hot comes from the counts of all columns in a table of 2**20 slots. It only orders the columns: any
+order gives the same result.
 
 A text without words, or null, has an empty set and is linked with nothing, itself its component. Equal rows are one
 class. The component id is the smallest key in the component (null only if all are). Other columns aren't read.
@@ -68,16 +68,15 @@ def _hot(batches):
             held, n = [], 0
     if held:
         counts += np.bincount(np.concatenate(held), minlength=len(counts))
-    mean = counts.mean()
-    some = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 3)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["slot", "n"])
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
 
 
 def hot_columns(docs: DataFrame) -> np.ndarray:
-    """Rank of each slot, 0 for all but the hot ones; a table of fixed size."""
+    """Rank of each slot, by the number of texts with one of its columns; a table of fixed size."""
     table = np.zeros(1 << SLOT_BITS)
-    for r in docs.mapInArrow(_hot, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[r.slot] = r.n
+    rows = docs.mapInArrow(_hot, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return np.minimum(np.rint(np.log2(table + 1) * 8), 65535).astype(np.uint16)
 
 
