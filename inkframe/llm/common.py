@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,26 +47,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(v, comp): the smallest vertex that each vertex of ``edges`` (a, b) reaches.
 
-    Alternates the large-star and small-star steps, both plain aggregations and joins, until nothing changes;
-    each round is a stored table, so rounds don't pile up in the plan.
+    Alternates the large-star and small-star steps, both plain aggregations and joins, until the edges are stars around
+    the smallest vertices; each round is a stored table, so rounds don't pile up in the plan.
     """
-    from pyspark.sql import functions as F
-
-    now = scratch.store(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a != b").distinct(), f"{name}0")
-    seen, i = None, 0
+    # edges lead from the larger vertex a to the smaller b
+    now, i = scratch.store(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a != b").distinct(), f"{name}0"), 0
     while True:
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(now.select("b", F.lit(0), F.lit(1)))
+        if not ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1 AND up > 0").count():
+            break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # each neighbour larger than a gets a's least neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        # each neighbour larger than b gets b's least neighbour, or b
+        large = now.join(least, "b").select("a", F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # each vertex and its smaller neighbours get the least of them
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        i += 1
-        new = scratch.store(small, f"{name}{i}")
-        mark = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        now, i = scratch.store(small, f"{name}{i + 1}"), i + 1
         scratch.drop(f"{name}{i - 1}")
-        if tuple(mark) == seen:
-            break
-        seen, now = tuple(mark), new
-    return new.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(new.select(F.col("b").alias("v"), F.col("b").alias("comp"))).distinct()
+    return now.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(now.select("b").distinct().select("b", F.col("b").alias("comp")))

@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from inkframe.llm import bpe, decontaminate, jaccard, langid, licenses, quality, queries, suffix_dedup, token_counts, url_filter, wavelet
+from inkframe.llm import bpe, common, decontaminate, jaccard, langid, licenses, quality, queries, suffix_dedup, token_counts, url_filter, wavelet
 
 SF = "/root/testdata/sf0.001"
 ODD = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n\t"), (10**6 + 3, "a\na\nb\n a\n\na"), (10**6 + 4, "CC BY cc by all rights reserved"), (10**6 + 5, "A b"), (10**6 + 6, "a  B"), (10**6 + 7, "é" * 450), (10**6 + 8, "ab" * 300), (10**6 + 9, "x\x1cy İ Σ 漢字 <|endoftext|> | é <b>")]
@@ -199,6 +199,26 @@ def _components(rows):
     return {r.doc_id: (len(sets[i]), least[top(i)]) for i, r in enumerate(rows)}
 
 
+def test_components(spark):
+    rnd = random.Random(2)
+    chain = rnd.sample(range(200), 60)
+    edges = list(zip(chain, chain[1:])) + [(1000, 1000 + i) for i in range(1, 40)] + [(2000 + i, 2100) for i in range(40)] + [(7, 7), (1001, 1000)]
+    edges += [(rnd.randrange(3000, 3200), rnd.randrange(3000, 3200)) for _ in range(120)]
+    up = {}
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for a, b in edges:
+        if a != b:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+    got = common.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "test")).collect()
+    assert sorted(map(tuple, got)) == sorted((v, top(v)) for v in up)
+    assert common.components(spark.createDataFrame([], "a long, b long"), common.Scratch(spark, "test")).count() == 0
+
+
 @pytest.mark.parametrize("pairs", [4, 0])
 def test_jaccard_join(docs, rows, monkeypatch, pairs):
     monkeypatch.setattr(jaccard, "PAIRS", pairs)
