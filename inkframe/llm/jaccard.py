@@ -6,8 +6,9 @@ among the first n - ceil(t n) + 1 of each, so only that block of columns is mult
 positions bound the overlap a pair can still reach and discard it early. Overlaps of the pairs that are left are
 accumulated exactly, block by block of the hash range, until they are reached or out of reach.
 
-A column shared by many rows isn't multiplied out. Its first row, the leader, meets every other; rows that are linked
-by then need no further look, as only components are asked for. Columns whose rows lie in several components get
+A column shared by many rows isn't multiplied out. Its leader, the row with the fewest colder columns of its own, meets
+every other: an edit of a copy makes columns that only it has, so this row is the copy edited least, and linked with the
+most. Rows that are linked by then need no further look, as only components are asked for. Columns whose rows lie in several components get
 further leaders while the rest would be more than ``PAIRS`` pairs per row, ``ROUNDS`` times at most, and then all
 pairs across components.
 
@@ -192,7 +193,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         else:
             now = rest.join(comp.withColumnRenamed("v", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
         # columns whose rows aren't all in one component, and what multiplying them out would take
-        per = now.groupBy("gram", "comp").agg(F.count("*").alias("k"), F.min("row").alias("lead")).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.min("lead").alias("lead"), F.count("*").alias("comps")).where("comps > 1")
+        per = now.groupBy("gram", "comp").agg(F.count("*").alias("k"), F.min(F.struct("pos", "row")).alias("lead")).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.min("lead")["row"].alias("lead"), F.count("*").alias("comps")).where("comps > 1")
         now = s.store(now.join(per.select("gram", "lead", "m", "kk"), "gram"), f"open{i}")
         total = now.select("gram", "m", "kk").distinct().agg(F.sum((F.col("m") * F.col("m") - F.col("kk")) / 2), F.sum("m")).first()
         if not total[1]:
