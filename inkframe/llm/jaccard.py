@@ -183,7 +183,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     classes = table.where("n > 0").groupBy(*by).agg(F.min("row").alias("row"), F.min_by("key", "row").alias("rep"), F.min("key").alias("least"))
     classes = s.store(classes, "classes")
 
-    done, links = None, None
+    done = None
     comp = None
     rest = cells
     size, i = None, 0
@@ -214,8 +214,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         pairs = s.store(pairs, f"pairs{i}")
         checked = s.store(_checked(pairs, classes, docs, percent, s, i), f"checked{i}")
         done = checked if done is None else done.union(checked)
-        links = done.where("linked").select("a", "b")
-        comp = s.store(components(links, s, f"cc{i}_"), f"comp{i}")
+        # without new links the components stay as they are
+        if not checked.where("linked").isEmpty():
+            comp = s.store(components(done.where("linked").select("a", "b"), s, f"cc{i}_"), f"comp{i}")
         if last:
             break
         rest = now.where("row != lead").select("gram", "row", "n", "pos")
