@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
     ship(spark)
-    first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = jaccard.groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -6,7 +6,9 @@ among the first n - ceil(t n) + 1 of each, so only that block of columns is mult
 positions bound the overlap a pair can still reach and discard it early. Overlaps of the pairs that are left are
 accumulated exactly, block by block of the hash range, until they are reached or out of reach.
 
-A column shared by many rows isn't multiplied out. Its leader, the row with the fewest colder columns of its own, meets
+:func:`join` multiplies every shared column out, one of many rows in blocks of ``BLOCK`` by ``BLOCK`` rows, and checks every
+candidate pair of classes, so each link is found; a group of n copies takes n * n / 2 pairs. :func:`groups` finds the same
+components without the links. In it a column shared by many rows isn't multiplied out. Its leader, the row with the fewest colder columns of its own, meets
 every other: an edit of a copy makes columns that only it has, so this row is the copy edited least, and linked with the
 most. Rows that are linked by then need no further look, as only components are asked for. Columns whose rows lie in several components get
 further leaders while the rest would be more than ``PAIRS`` pairs per row, ``ROUNDS`` times at most, and then all
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.llm import kernels as K
@@ -38,6 +40,10 @@ PAIRS = 4
 #: Rounds of leaders, after which all pairs across components are looked at in any case.
 ROUNDS = 3
 _BLOCKS = 8
+#: Rows of a column, and sets of a verified block, that one task takes on either side.
+BLOCK = 256
+#: Shingles looked up in one step of the verification.
+_LOOKUPS = 1 << 21
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +169,8 @@ def _same_set(batches):
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("z")], names=["row", "z"]).filter(pa.array(keep, pa.bool_()))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
-    """(key, n_shingles, class_id, component_id) of every text; class_id numbers equal sets."""
+def _matrix(docs: DataFrame, key: str, text: str, percent: int) -> tuple[Scratch, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scratch, docs, table, cells, classes): the texts' rows, the first columns that several classes share, the classes."""
     spark = docs.sparkSession
     s = Scratch(spark, "jaccard")
     kind = docs.schema[key].dataType.simpleString()
@@ -178,11 +184,112 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     first = F.min_by(F.struct("key", "prefix"), "row")
     reps = table.where("n > 0").groupBy(*by).agg(F.min("row").alias("row"), first.alias("f"))
     cells = reps.select("row", "n", F.posexplode("f.prefix").alias("pos", "gram"))
-    shared = cells.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    shared = cells.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     cells = s.store(cells.join(shared, "gram"), "cells")
-    classes = table.where("n > 0").groupBy(*by).agg(F.min("row").alias("row"), F.min_by("key", "row").alias("rep"), F.min("key").alias("least"))
-    classes = s.store(classes, "classes")
+    classes = table.where("n > 0").groupBy(*by).agg(F.min("row").alias("row"), F.min_by("key", "row").alias("rep"), F.min("key").alias("least"), F.count("*").alias("size"), F.min_by(F.element_at("prefix", -1), "row").alias("home"))
+    return s, docs, table, cells, s.store(classes, "classes")
+
+
+def _members(key: str, table: DataFrame, classes: DataFrame, comp: DataFrame | None, *more: str) -> DataFrame:
+    """(key, n_shingles, class_id, component_id, columns of the classes, 0 for empty sets) of every text."""
+    by = ["n", "one", "two"]
+    base = classes.select(*by, "row", "least", *more)
+    if comp is not None:
+        base = base.join(comp.withColumnRenamed("v", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+        base = base.drop("least").join(base.groupBy("comp").agg(F.min("least").alias("least")), "comp")
+    ids = base.select(*by, F.col("row").alias("class_id"), F.col("least").alias("component_id"), *more)
+    full = table.select("key", "row", *by)
+    out = full.where("n > 0").join(ids, by).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "class_id", "component_id", *more)
+    return out.union(full.where("n = 0").select("key", "n", F.col("row"), "key", *(F.lit(0).cast("long") for _ in more)))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
+    """(key, n_shingles, class_id, component_id, n_links) of every text; class_id numbers equal sets, n_links counts the other texts it is linked with."""
+    return links(docs, key, text, percent)[0]
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(what :func:`join` returns, all linked pairs (a, b) of class_ids with a < b)."""
+    s, docs, table, cells, classes = _matrix(docs, key, text, percent)
+    # every pair of a column's blocks is a key of its own
+    k = F.ceil(F.col("m") / BLOCK)
+    own, every = F.pmod(F.xxhash64("row"), k), F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+    x = cells.select("gram", own.alias("i"), every.alias("j"), F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    y = cells.select("gram", every.alias("i"), own.alias("j"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    pairs = x.join(y, ["gram", "i", "j"]).where("a < b").where(_possible(percent))
+    pairs = s.store(pairs.select("a", "b").distinct(), "pairs")
+    linked = s.store(_linked(pairs, classes, docs, percent, s), "links")
+    comp = s.store(components(linked, s), "comp")
+    ends = linked.select(F.col("a").alias("row"), F.col("b").alias("other")).union(linked.select("b", "a"))
+    met = ends.join(classes.select(F.col("row").alias("other"), "size"), "other").groupBy("row").agg(F.sum("size").alias("met"))
+    counted = classes.join(met, "row", "left").withColumn("n_links", F.col("size") - 1 + F.coalesce("met", F.lit(0)))
+    return _members(key, table, counted, comp, "n_links"), linked
+
+
+def _possible(percent: int) -> Column:
+    """Whether sizes na, nb and places pa, pb of a shared column leave the similarity within reach."""
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    bound = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bound >= need)
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, s: Scratch) -> DataFrame:
+    """The pairs (a, b) that reach the similarity. Similar sets are put in blocks, and each pair of blocks gets its sets once."""
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = _texts(ends, classes, docs, s, "texts").join(classes.select("row", "home"), "row")
+    k = F.ceil(F.col("count") / BLOCK)
+    texts = s.store(texts.join(texts.groupBy("home").count(), "home").select("row", "z", F.xxhash64("home", F.pmod(F.xxhash64("row"), k)).alias("block")), "blocks")
+    of = lambda v: texts.select(F.col("row").alias(v), F.col("block").alias(f"of_{v}"))
+    placed = s.store(pairs.join(of("a"), "a").join(of("b"), "b").select("of_a", "of_b", "a", "b"), "placed")
+    sets = placed.select("of_a", "of_b", F.col("a").alias("row")).union(placed.select("of_a", "of_b", "b")).distinct().join(texts.select("row", "z"), "row")
+    both = sets.select("of_a", "of_b", F.lit(0).alias("kind"), F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "z")
+    both = both.union(placed.select("of_a", "of_b", F.lit(1), "a", "b", F.lit(None).cast("binary")))
+    return both.repartition("of_a", "of_b").sortWithinPartitions("of_a", "of_b", "kind", "a").mapInArrow(_overlaps(percent), "a long, b long")
+
+
+def overlaps(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Exact size of the overlap of an ascending set with each of the others."""
+    every = np.concatenate(others)
+    hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+    sizes = np.array([len(x) for x in others])
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _overlaps(percent: int):
+    def run(batches):
+        block, sets = None, {}
+        for batch in batches:
+            of_a, of_b, kind, a, b = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("of_a", "of_b", "kind", "a", "b"))
+            z = batch.column("z")
+            new = np.flatnonzero(np.append(True, (of_a[1:] != of_a[:-1]) | (of_b[1:] != of_b[:-1]) | (kind[1:] != kind[:-1]) | ((kind[1:] == 1) & (a[1:] != a[:-1]))))
+            left, right = [], []
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(a)]):
+                if (of_a[i], of_b[i]) != block:
+                    block, sets = (of_a[i], of_b[i]), {}
+                if kind[i] == 0:
+                    sets |= {int(a[r]): _unpack(z[r].as_py()) for r in range(i, j)}
+                    continue
+                mine, held, size = sets[int(a[i])], [], 0
+                for r in range(i, j):
+                    held.append(int(b[r]))
+                    size += len(sets[held[-1]])
+                    if size > _LOOKUPS or r == j - 1:
+                        sizes = np.array([len(sets[x]) for x in held])
+                        have = overlaps(mine, [sets[x] for x in held])
+                        some = np.array(held)[100 * have >= percent * (len(mine) + sizes - have)]
+                        left.append(np.full(len(some), a[i], np.int64))
+                        right.append(some)
+                        held, size = [], 0
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
+    return run
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
+    """(key, n_shingles, class_id, component_id) of every text: the components of :func:`join`, not the links."""
+    s, docs, table, cells, classes = _matrix(docs, key, text, percent)
+    cells = cells.drop("m")
     done = None
     comp = None
     rest = cells
@@ -205,9 +312,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         if not last:
             x = x.join(now.select("gram", F.col("lead").alias("a")).distinct(), ["gram", "a"])
         pairs = x.join(y if last else y.where("b != lead"), "gram").where("ca != cb" + (" AND a < b" if last else ""))
-        need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-        bound = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-        pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bound >= need))
+        pairs = pairs.where(_possible(percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
@@ -222,24 +327,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         rest = now.where("row != lead").select("gram", "row", "n", "pos")
         i += 1
 
-    base = classes.select(*by, "row", "least")
-    if comp is not None:
-        base = base.join(comp.withColumnRenamed("v", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-        base = base.drop("least").join(base.groupBy("comp").agg(F.min("least").alias("least")), "comp")
-    ids = base.select(*by, F.col("row").alias("class_id"), F.col("least").alias("component_id"))
-    full = table.select("key", "row", *by)
-    out = full.where("n > 0").join(ids, by).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "class_id", "component_id")
-    return out.union(full.where("n = 0").select("key", "n", F.col("row"), "key"))
+    return _members(key, table, classes, comp)
 
 
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, s: Scratch, i: int) -> DataFrame:
     """(a, b, linked): the pairs' exact overlaps, from the texts of the classes' first rows."""
     ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = _texts(ends, classes, docs, s, f"texts{i}")
+    both = pairs.join(texts.select(F.col("row").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("row").alias("a"), F.col("z").alias("za")), "a")
+    return both.select("a", "b", "za", "zb").sortWithinPartitions("a").mapInArrow(_verify(percent), "a long, b long, linked boolean")
+
+
+def _texts(ends: DataFrame, classes: DataFrame, docs: DataFrame, s: Scratch, name: str) -> DataFrame:
+    """(row, z): the packed texts of the wanted classes' first rows."""
     wanted = ends.join(classes, "row").select("row", F.col("rep").alias("key"), "n", "one", "two")
     kind = docs.schema["key"].dataType.simpleString()
     packed = docs.where("text IS NOT NULL").mapInArrow(_packed, f"key {kind}, z binary")
     texts = packed.withColumnRenamed("key", "k").join(wanted, F.col("k").eqNullSafe(F.col("key"))).select("row", "z", "n", "one", "two")
     # keys may repeat: the set itself says which text is meant
-    texts = s.store(texts.mapInArrow(_same_set, "row long, z binary").dropDuplicates(["row"]), f"texts{i}")
-    both = pairs.join(texts.select(F.col("row").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("row").alias("a"), F.col("z").alias("za")), "a")
-    return both.select("a", "b", "za", "zb").sortWithinPartitions("a").mapInArrow(_verify(percent), "a long, b long, linked boolean")
+    return s.store(texts.mapInArrow(_same_set, "row long, z binary").dropDuplicates(["row"]), name)

@@ -226,6 +226,30 @@ def test_jaccard_join(docs, rows, monkeypatch, pairs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == _components(rows)
 
 
+@pytest.mark.parametrize("pairs", [4, 0])
+def test_jaccard_groups(docs, rows, empty, monkeypatch, pairs):
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(docs).collect()} == _components(rows)
+    assert jaccard.groups(empty).count() == 0
+
+
+def test_jaccard_links(docs, rows, monkeypatch):
+    """Every link, also inside a component and across the blocks of a column."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    sets = {}
+    for r in rows:
+        w = SPACED.findall(lower(r.text))
+        sets[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
+    near = lambda a, b: len(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    members, pairs = jaccard.links(docs)
+    got = {r.doc_id: r for r in members.collect()}
+    assert {k: r.n_links for k, r in got.items()} == {k: sum(1 for m, b in sets.items() if m != k and near(a, b)) for k, a in sets.items()}
+    of = {r.class_id: sets[k] for k, r in got.items() if sets[k]}
+    want = [(a, b) for a in of for b in of if a < b and near(of[a], of[b])]
+    assert sorted(map(tuple, pairs.collect())) == sorted(want) and len(want) > 40
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard.join(empty).count() == 0
 
