@@ -176,6 +176,49 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_language_id_keeps_4_grams_apart(spark, monkeypatch):
+    """4-grams that share a hash slot, more than 64 languages, and a model in parts."""
+    word = lambda x: "".join(chr(97 + x // 26**j % 26) for j in range(4))
+    key = lambda w: sum(ord(c) << 12 * (3 - j) for j, c in enumerate(w))
+    words = [word(x) for x in range(0, 26**4, 101)]
+    slots, pairs = {}, []
+    for w, s in zip(words, langid.slot_of(np.array([key(w) for w in words], np.uint64)).tolist()):
+        if s in slots:
+            pairs.append((slots[s], w))
+        slots[s] = w
+    assert len(pairs) > 3
+    texts = [(i, f"{a} {b} {b}", f"l{i % 2}") for i, p in enumerate(pairs) for a, b in [p if i % 2 else p[::-1]]] + [(1000 + i, word(7 * i), f"m{i}") for i in range(70)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    count = {}
+    for _, t, lang in texts:
+        t = f"\0\0\0{t.replace(' ', chr(0))}\0"
+        count.setdefault(lang, Counter()).update(t[i : i + 4] for i in range(len(t) - 3))
+
+    def p(c, gram):
+        """Interpolated Kneser-Ney by its definition."""
+        if not gram:
+            return 1 / 4096
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.75
+        same = [v for g, v in c.items() if g[:-1] == gram[:-1]]
+        below = p(Counter(g[1:] for g in c), gram[1:])
+        return max(c[gram] - d, 0) / sum(same) + min(d, 1) * len(same) / sum(same) * below if same else below
+
+    model = langid.fit(d)
+    assert len(model.langs) == 72 and len(model.parts) == 1
+    part = model.parts[0].value
+    assert len(part.keys) == len({g for c in count.values() for g in c})
+    for w in {w for pair in pairs[:3] for w in pair}:
+        for lang in ("l0", "l1", "m3"):
+            t = f"\0\0\0{w}\0"
+            want = sum(np.log(p(count[lang], t[i : i + 4])) for i in range(len(t) - 3))
+            assert abs(part.totals([w])[0][0, model.langs.index(lang)] / langid.UNIT - want) < 1e-3
+    one = sorted(map(tuple, langid.predict(d, model).collect()))
+    monkeypatch.setattr(langid, "CELLS", 5_000)
+    model = langid.fit(d)
+    assert len(model.parts) > 2 and sorted(map(tuple, langid.predict(d, model).collect())) == one
+
+
 def _components(rows):
     sets = []
     for r in rows:
