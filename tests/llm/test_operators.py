@@ -339,6 +339,21 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), labels, queries.RULES).count() == 0
 
 
+def test_url_filter_judges_every_level(spark):
+    """A bad host whose labels are spread over folders, a bad folder in the middle of a good host, and segments beyond the fourth."""
+    spread = [f"http://spread.org/{c}/sub/x{c}{i}" for c in "abcdef" for i in range(2)]
+    inner = [f"http://mixed.org/{a}/{c}/p" for a in ("fine", "foul") for c in "abcdefghij"]
+    deep = [f"http://deep.org/a/b/c/d/{c}{c}/end/{c}.html" for c in "abcdefghij"]
+    urls = spread + inner + deep + [f"http://good{i}.org/" for i in range(200)] + ["http://spread.org/new/sub/y", "http://mixed.org/foul/new/p", "http://mixed.org/fine/new/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("spread" in u or "foul" in u)) for i, u in enumerate(urls[:-3])], "doc_id long, toxic int")
+    got = {r.page_id: r for r in url_filter.judge(pages, labels, []).collect()}
+    assert len(got) == len(urls)
+    assert {r.verdict for r in got.values() if r.host == "spread.org" or "/foul/" in r.path} == {"block"}
+    assert {r.verdict for r in got.values() if r.host != "spread.org" and "/foul/" not in r.path} == {"allow"}
+    assert {r.template for r in got.values() if r.host == "deep.org"} == {"deep.org/a/b/c/d/*/end/*.html"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
