@@ -1,9 +1,14 @@
 """Quality rules (operator 3): rule statistics, and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over ``BUCKETS`` hash buckets of token unigrams and bigrams are counted: one over every text (the
-raw corpus), one over the texts whose key is labelled good (the trusted target). A text's score is the mean over its
-n-grams of log p_target - log p_raw; it is kept when that is at least ``THRESHOLD``. Ratios are held as integers, so
-that a score doesn't depend on the order of additions. Tokens are maximal runs of word bytes or of other non-space
+Two multinomials over hash buckets of token unigrams and bigrams are counted: one over every text (the raw corpus), one
+over the texts whose key is labelled good (the trusted target). The number of buckets grows with the bytes of text, from
+2**``LEAST_BITS`` to 2**``MOST_BITS``. A text's score is the mean over its n-grams of log p_target - log p_raw; it is kept
+when that is at least ``THRESHOLD``. Ratios are held as integers, so that a score doesn't depend on the order of additions.
+
+A bucket's ratio is backed off by its evidence to that of the bucket twice as wide, and so on up to 2**``TOP_BITS``
+buckets and then to 0: with much evidence it is its own, with little its neighbourhood's. The rule is the same at every size.
+
+Tokens are maximal runs of word bytes or of other non-space
 bytes.
 
 Null texts have no words and fail the base rule, as empty ones do. Without a single trusted text every ratio is 0.
@@ -19,7 +24,11 @@ from pyspark.sql import functions as F
 
 from inkframe.llm import kernels as K
 
-BUCKETS = 1 << 16
+#: Bits of the widest buckets, and of the narrowest in small and in large corpora.
+TOP_BITS, LEAST_BITS, MOST_BITS = 6, 16, 22
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 256
+#: Target n-grams expected in a bucket at which its own ratio weighs as much as the wider bucket's.
 EVIDENCE = 100
 #: Nats per n-gram below which a text is rejected.
 THRESHOLD = -0.15
@@ -38,8 +47,13 @@ _CLASS[65:91] = 1
 _CLASS[~K.SPACED] = 0
 
 
-def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all unigrams and bigrams, and the number of the text that each stands in."""
+def bits_of(n_bytes: int) -> int:
+    """Bits of the narrowest buckets for a corpus of so many bytes."""
+    return min(max(LEAST_BITS, (n_bytes // BUCKET_BYTES).bit_length()), MOST_BITS)
+
+
+def grams(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets, 2**bits in all, of all unigrams and bigrams, and the number of the text that each stands in."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kind = _CLASS[buf]
@@ -55,19 +69,23 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doc = np.searchsorted(off, starts, side="right") - 1
     pair = doc[1:] == doc[:-1]
     two = K.mix(one[:-1] * np.uint64(3) + one[1:])[pair]
-    bits = np.uint64(64 - (BUCKETS - 1).bit_length())
-    return (np.concatenate([one, two]) >> bits).astype(np.int64), np.concatenate([doc, doc[1:][pair]])
+    return (np.concatenate([one, two]) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([doc, doc[1:][pair]])
 
 
-def _count(batches):
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch, buf, off in K.steps(batches):
-        bucket, doc = grams(buf, off)
-        raw += np.bincount(bucket, minlength=BUCKETS)
-        good = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-        target += np.bincount(bucket[good[doc]], minlength=BUCKETS)
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
+def _count(bits: int):
+    def run(batches):
+        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        for batch, buf, off in K.steps(batches):
+            bucket, doc = grams(buf, off, bits)
+            good = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
+            # adding bucket by bucket: a step has far fewer n-grams than there may be buckets
+            for counts, b in ((raw, bucket), (target, bucket[good[doc]])):
+                some, n = np.unique(b, return_counts=True)
+                counts[some] += n
+        some = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
+
+    return run
 
 
 def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
@@ -76,24 +94,26 @@ def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(keys, "key", "left").select("text", F.coalesce("hit", F.lit(False)).alias("trusted"))
-    # one row for each bucket: at most BUCKETS of them come back
-    rows = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows:
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
-    if not target.sum():
-        return np.zeros(BUCKETS, np.int64)
+    bits = bits_of(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+    # one row for each bucket: at most 2**bits of them come back
+    rows = marked.mapInArrow(_count(bits), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+    bucket = rows["bucket"].to_numpy()
+    raw[bucket], target[bucket] = rows["raw"].to_numpy(), rows["target"].to_numpy()
     return ratios(raw, target)
 
 
 def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Ratio by bucket. Neighbouring buckets are counted together until ``EVIDENCE`` n-grams fall on each on average, else a small corpus would hold its rare words against the texts that have them."""
-    width = 1
-    while width < BUCKETS // 64 and raw.sum() * width < EVIDENCE * BUCKETS:
-        width *= 2
-    r, t = raw.reshape(-1, width).sum(1), target.reshape(-1, width).sum(1)
-    ratio = np.log((t + 1) / (t.sum() + len(t))) - np.log((r + 1) / (r.sum() + len(r)))
-    return np.repeat(np.rint(ratio * UNIT).astype(np.int64), width)
+    """Ratio by bucket, backed off from the widest buckets to the narrowest; 0 without a target."""
+    if not target.sum():
+        return np.zeros(len(raw), np.int32)
+    expected = raw * (target.sum() / raw.sum())
+    ratio = np.ones(1)
+    for bits in range(TOP_BITS, len(raw).bit_length()):
+        t, e = (x.reshape(1 << bits, -1).sum(1) for x in (target, expected))
+        ratio = np.repeat(ratio, len(t) // len(ratio))
+        ratio = (t + EVIDENCE * ratio) / (e + EVIDENCE)
+    return np.rint(np.log(ratio) * UNIT).astype(np.int32)
 
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -149,7 +169,7 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", threshold: float = THRESHOLD, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """The rows with their statistics, ``llr`` (nats per n-gram), ``base_failed`` and ``kept``."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(ratio), len(ratio).bit_length() - 1
     new = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "llr": "double", "base_failed": "boolean", "kept": "boolean"}
     docs = docs.drop(*(c for c in docs.columns if c.lower() in new))
     own = docs.columns
@@ -158,7 +178,7 @@ def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", threshold: flo
         for batch, buf, off in K.steps(batches, text):
             n = batch.num_rows
             out = base_counts(buf, off)
-            bucket, doc = grams(buf, off)
+            bucket, doc = grams(buf, off, bits)
             order = np.argsort(doc, kind="stable")
             total = _sums(shared.value[bucket[order]], np.searchsorted(doc[order], np.arange(n + 1)))
             llr = total / np.maximum(np.bincount(doc, minlength=n), 1) / UNIT

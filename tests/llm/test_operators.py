@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from inkframe.llm import bpe, common, decontaminate, jaccard, langid, licenses, quality, queries, suffix_dedup, token_counts, url_filter, wavelet
 
@@ -115,6 +116,33 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality.score(empty, quality.fit(empty, labels.limit(0))).count() == 0
 
 
+def test_quality_ratios_at_every_size():
+    """Ratios go from the neighbourhood's to the bucket's own without a step; more text gives more buckets."""
+    rnd = np.random.default_rng(3)
+    share = np.exp(rnd.normal(0, 1, (2, 1 << 16)))
+    raw = 65536 * share[0] / share[0].sum()
+    target = raw * share[1] / (raw * share[1]).sum() * 30_000
+    own = np.log(target / target.sum() / (raw / raw.sum()))
+    off = [np.abs(quality.ratios(raw * n, target * n) / quality.UNIT - own).mean() for n in (1, 99.9, 100.1, 10**5)]
+    assert off[0] > off[1] > off[2] > off[3] and off[1] - off[2] < 0.001 and off[3] < 0.02
+    steps = [quality.ratios(raw * n, target * n) / quality.UNIT for n in (99.9, 100.1)]
+    assert np.abs(steps[0] - steps[1]).max() < 0.01
+    assert quality.bits_of(0) == 16 and quality.bits_of(10**8) < quality.bits_of(5 * 10**8) < quality.bits_of(10**10)
+
+
+def test_quality_rules_with_more_buckets(spark, docs, monkeypatch):
+    """The path of large corpora: many narrow buckets, each with evidence of its own."""
+    monkeypatch.setattr(quality, "BUCKET_BYTES", 1)
+    d = docs.where("doc_id < 1000")
+    many = d.crossJoin(spark.range(40)).select((F.col("doc_id") * 40 + F.col("id")).alias("doc_id"), "text")
+    good = spark.read.parquet(f"{SF}/labels.parquet").crossJoin(spark.range(40)).select((F.col("doc_id") * 40 + F.col("id")).alias("doc_id"), "quality")
+    ratio = quality.fit(many, good.where("quality = 1"))
+    assert len(ratio) > 1 << 20
+    got = quality.score(many, ratio).join(good, "doc_id").where("NOT base_failed").collect()
+    good, bad = ([r for r in got if r.quality == q] for q in (1, 0))
+    assert bad and max(r.llr for r in bad) < -1 and sum(r.kept for r in good) > 0.98 * len(good)
+
+
 @pytest.mark.parametrize("block_items", [20_000, 7])
 def test_decontamination(spark, docs, rows, empty, block_items):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, "cc by"), (901, "--"), (902, None), (903, "CC BY")], "item_id long, text string"))
