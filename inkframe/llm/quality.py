@@ -144,14 +144,13 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     covered = np.cumsum(repeated[:-1]) > 0
     # lines with a word, equal to an earlier one of the text
     breaks = np.flatnonzero(buf == 10)
-    begin = np.sort(np.concatenate([off[:-1], breaks + 1]), kind="stable")
+    begin = np.concatenate([off[:-1], breaks + 1])
     doc = np.concatenate([np.arange(n), np.searchsorted(off, breaks, side="right") - 1])
-    order = np.argsort(np.concatenate([off[:-1], breaks + 1]), kind="stable")
-    doc = doc[order]
+    # a break that ends its text begins an empty line at the next text's start: it stays with its own text
+    order = np.lexsort((begin, doc))
+    begin, doc = begin[order], doc[order]
     last = np.append(doc[1:] != doc[:-1], True)
     stop = np.where(last, off[doc + 1], np.append(begin[1:], 0) - 1)
-    # a break that ends its text begins an empty line at the next text's start: it keeps its own text's number
-    begin = np.minimum(begin, off[doc + 1])
     stop = np.maximum(stop, begin)
     full = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, doc = begin[full], stop[full], doc[full]

@@ -116,6 +116,14 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality.score(empty, quality.fit(empty, labels.limit(0))).count() == 0
 
 
+def test_duplicate_lines_of_texts_that_end_in_a_break():
+    rnd = random.Random(5)
+    texts = ["a\na\n", "b\nb", "", "\n", "c\n", "c\nc\n\n", "\n\nd\nd", "e"] + ["".join(rnd.choice("ab \n") for _ in range(rnd.randrange(9))) for _ in range(300)]
+    lines = [[x for x in t.split("\n") if SPACED.search(x)] for t in texts]
+    got = quality.base_counts(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))["n_dup_lines"]
+    assert got.tolist() == [len(x) - len(set(x)) for x in lines] and got[:2].tolist() == [1, 1]
+
+
 def test_quality_ratios_at_every_size():
     """Ratios go from the neighbourhood's to the bucket's own without a step; more text gives more buckets."""
     rnd = np.random.default_rng(3)
