@@ -27,7 +27,9 @@ from inkframe.llm import kernels as K
 #: Bits of the widest buckets, and of the narrowest in small and in large corpora.
 TOP_BITS, LEAST_BITS, MOST_BITS = 6, 16, 22
 #: Bytes of text for each bucket.
-BUCKET_BYTES = 256
+BUCKET_BYTES = 1024
+#: Buckets whose counts are sent together.
+_TOGETHER = 1 << 12
 #: Target n-grams expected in a bucket at which its own ratio weighs as much as the wider bucket's.
 EVIDENCE = 100
 #: Nats per n-gram below which a text is rejected.
@@ -72,6 +74,26 @@ def grams(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     return (np.concatenate([one, two]) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([doc, doc[1:][pair]])
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts by the planes of their bytes, most of which are 0, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+_PACKED = "block int, raw binary, target binary"
+
+
+def _packed(blocks: list[int], *counts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *(pa.array(map(_pack, c), pa.binary()) for c in counts)], names=["block", "raw", "target"])
+
+
 def _count(bits: int):
     def run(batches):
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
@@ -82,12 +104,27 @@ def _count(bits: int):
             for counts, b in ((raw, bucket), (target, bucket[good[doc]])):
                 some, n = np.unique(b, return_counts=True)
                 counts[some] += n
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
+        raw, target = raw.reshape(-1, _TOGETHER), target.reshape(-1, _TOGETHER)
+        some = np.flatnonzero(raw.any(1))
+        yield _packed(some.tolist(), list(raw[some]), list(target[some]))
 
     return run
 
 
+def _added(batches):
+    """Sums by block of rows that are sorted by it."""
+    last, raw, target = None, 0, 0
+    for batch in batches:
+        for block, r, t in zip(*(c.to_pylist() for c in batch.columns)):
+            if block != last:
+                if last is not None:
+                    yield _packed([last], [raw], [target])
+                last, raw, target = block, 0, 0
+            raw, target = raw + _unpack(r), target + _unpack(t)
+    if last is not None:
+        yield _packed([last], [raw], [target])
+
+
 def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """Ratio by bucket in units of 1 / UNIT nats. ``trusted`` holds the keys of good texts."""
     keys = trusted.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct().withColumn("hit", F.lit(True))
@@ -95,11 +132,12 @@ def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
         keys = F.broadcast(keys)
     marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(keys, "key", "left").select("text", F.coalesce("hit", F.lit(False)).alias("trusted"))
     bits = bits_of(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
-    # one row for each bucket: at most 2**bits of them come back
-    rows = marked.mapInArrow(_count(bits), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    rows = marked.mapInArrow(_count(bits), _PACKED).repartition("block").sortWithinPartitions("block").mapInArrow(_added, _PACKED)
+    # at most 2**bits counts come back
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    bucket = rows["bucket"].to_numpy()
-    raw[bucket], target[bucket] = rows["raw"].to_numpy(), rows["target"].to_numpy()
+    for r in rows.collect():
+        at = slice(r.block * _TOGETHER, (r.block + 1) * _TOGETHER)
+        raw[at], target[at] = _unpack(r.raw), _unpack(r.target)
     return ratios(raw, target)
 
 
