@@ -3,8 +3,8 @@
 The index is dealt by documents: a segment holds some megabytes of text as sorted term hashes, each with its
 ascending word positions. Texts of a segment are numbered on with gaps between them, so no phrase crosses two.
 A phrase is looked up from its rarest term in the segment: that term's positions, less its offset in the phrase, are
-intersected with the lists of the other terms, rarest first, each less its own offset. :meth:`Segment.near` finds
-places where terms stand within some distance instead.
+intersected with the lists of the other terms, rarest first, each less its own offset. :func:`near` finds places where
+terms stand within some distance instead.
 
 Only terms of the test items are stored while those are at most ``VOCABULARY``; more are indexed whole. Items are
 looked up in blocks of ``BLOCK_ITEMS``, a proven bound of what is sent to the executors at once.
@@ -92,6 +92,11 @@ class Segment:
         return place
 
 
+def _bases(counts: np.ndarray) -> np.ndarray:
+    """Place of each text's first word in its segment."""
+    return np.cumsum(counts) - counts + np.arange(len(counts)) * GAP
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words, and their number by text."""
     low = K.LOWER[buf]
@@ -108,7 +113,7 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int = WINDOW) -> tuple
 
 
 def build_index(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
-    """(terms, first, places, keys, counts): one stored row per segment; counts are the texts' words."""
+    """(segment, terms, first, places, keys, counts): one stored row per segment, with a number of its own; counts are the texts' words."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     shared = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(np.unique(vocabulary))
 
@@ -126,7 +131,8 @@ def build_index(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
             keys = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("key"))
             yield pa.RecordBatch.from_arrays([*binary, keys, pa.array([counts], pa.list_(pa.int64()))], names=["terms", "first", "places", "keys", "counts"])
 
-    return scratch.store(docs.mapInArrow(run, f"terms binary, first binary, places binary, keys array<{docs.schema['key'].dataType.simpleString()}>, counts array<long>"), "index")
+    segments = docs.mapInArrow(run, f"terms binary, first binary, places binary, keys array<{docs.schema['key'].dataType.simpleString()}>, counts array<long>")
+    return scratch.store(segments.withColumn("segment", F.monotonically_increasing_id()), "index")
 
 
 def _read(row) -> Segment:
@@ -149,7 +155,7 @@ def _lookup(shared, kind, several: bool):
                 row = {n: batch.column(n)[i].as_py() for n in ("terms", "first", "places", "counts")}
                 keys = batch.column("keys").slice(i, 1).flatten()
                 counts = np.array(row["counts"], np.int64)
-                base = np.cumsum(counts) - counts + np.arange(len(counts)) * GAP
+                base = _bases(counts)
                 phrase, place = _read(row).phrases(terms[one], sizes[one])
                 doc = np.searchsorted(base, place, side="right") - 1
                 begins, ends, items = ([[] for _ in counts] for _ in range(3))
@@ -168,12 +174,38 @@ def _lookup(shared, kind, several: bool):
                 out = [keys, pa.array(counts), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(items, pa.list_(pa.string()))]
                 out += [pa.array(x, pa.list_(pa.int64())) for x in (begins, ends)]
                 if several:
-                    out = [pa.array([hashlib.sha256(row["terms"] + row["places"] + str(keys.to_pylist()).encode()).hexdigest()] * len(keys)), pa.array(np.arange(len(keys))), *out]
+                    out = [pa.array([batch.column("segment")[i].as_py()] * len(keys), pa.int64()), pa.array(np.arange(len(keys))), *out]
                 yield pa.RecordBatch.from_arrays(out, names=["segment", "at"] * several + ["key", "n_words", "n_hit", "n_items", "items_sha256", "items", "begins", "ends"])
 
     return run
 
 
+def near(index: DataFrame, text: str, slop: int, key: str = "doc_id") -> DataFrame:
+    """(key, n_near, at) of every text of a stored index: the word positions of the text's rarest term in the segment that have all other words of ``text`` at most ``slop`` words away.
+
+    An index with a vocabulary knows its words only: a word that it lacks is in no text.
+    """
+    if not 0 <= slop < GAP:
+        raise ValueError(f"slop {slop}; texts stand {GAP} places apart")
+    terms = np.unique(words(*K.flat(pa.array([text], pa.string())))[0])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in ("terms", "first", "places", "counts")}
+                counts = np.array(row["counts"], np.int64)
+                base = _bases(counts)
+                place = _read(row).near(terms, slop)
+                doc = np.searchsorted(base, place, side="right") - 1
+                at = [[] for _ in counts]
+                for d, p in zip(doc.tolist(), (place - base[doc]).tolist()):
+                    at[d].append(p)
+                yield pa.RecordBatch.from_arrays([batch.column("keys").slice(i, 1).flatten(), pa.array(list(map(len, at)), pa.int64()), pa.array(at, pa.list_(pa.int64()))], names=["key", "n_near", "at"])
+
+    kind = index.schema["keys"].dataType.elementType.simpleString()
+    return index.mapInArrow(run, f"key {kind}, n_near long, at array<long>").withColumnRenamed("key", key)
+
+
 def _merged(batches):
     """Texts looked up in several blocks of items: hit words and items united."""
     for batch in batches:
@@ -215,7 +247,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_k
     several = len(blocks) > 1
     fields = f"key {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, begins array<long>, ends array<long>"
     none = (np.zeros((0, WINDOW), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-    parts = [index.mapInArrow(_lookup(spark.sparkContext.broadcast(b), kind, several), ("segment string, at long, " if several else "") + fields) for b in blocks or [none]]
+    parts = [index.mapInArrow(_lookup(spark.sparkContext.broadcast(b), kind, several), ("segment long, at long, " if several else "") + fields) for b in blocks or [none]]
     out = parts[0]
     if several:
         for p in parts[1:]:

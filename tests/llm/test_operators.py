@@ -173,6 +173,37 @@ def test_decontamination(spark, docs, rows, empty, block_items):
     assert decontaminate.decontaminate(docs, items.limit(0)).where("n_items > 0").count() == 0
 
 
+@pytest.mark.parametrize("block_items", [20_000, 1])
+def test_decontamination_of_repeated_rows(spark, block_items):
+    """Equal rows, and other texts with the same id or none, stay rows of their own in any number of blocks."""
+    docs = [(1, "some words of a leaked benchmark item here"), (2, "another one")] * 2 + [(None, "nothing known"), (None, "nothing known at all")]
+    d = spark.createDataFrame([], "doc_id long, text string")
+    for x in docs:  # a partition, and so a segment, for each
+        d = d.union(spark.createDataFrame([x], "doc_id long, text string").coalesce(1))
+    items = spark.createDataFrame([(1, "a leaked benchmark item"), (2, "benchmark item here"), (3, "never seen")], "item_id long, text string")
+    got = [(r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(d, items, block_items=block_items).collect()]
+    assert sorted(got) == [(0, 2, 0, 0), (0, 4, 0, 0), (1, 8, 5, 2), (1, 8, 5, 2), (2, 2, 0, 0), (2, 2, 0, 0)]
+
+
+def test_near_over_an_index(spark, docs, rows):
+    index = decontaminate.build_index(docs, common.Scratch(spark, "near"))
+    for text, slop in (("of the", 1), ("The, AND of", 6), ("cc by", 0), ("cc by", 1), ("qqqq the", 9)):
+        terms = set(ALNUM.findall(lower(text)))
+        hit = set()
+        for r in rows:
+            w = ALNUM.findall(lower(r.text))
+            # whichever term is the rarest, a text is hit if one of its places has all others around
+            by = {x: [i for i, v in enumerate(w) if v == x and terms <= set(w[max(0, i - slop) : i + slop + 1])] for x in terms}
+            if all(by.values()):
+                hit.add(r.doc_id)
+        got = {r.doc_id: r for r in decontaminate.near(index, text, slop).collect()}
+        assert len(got) == len(rows) and hit <= {k for k, r in got.items() if r.n_near}
+        for r in rows:
+            w = ALNUM.findall(lower(r.text))
+            assert all(terms <= set(w[max(0, i - slop) : i + slop + 1]) for i in got[r.doc_id].at)
+    assert decontaminate.near(index, "of the", 1).where("n_near > 0").count()
+
+
 def test_near():
     h, n = decontaminate.words(np.frombuffer(b"a b c d a x x b", np.uint8), np.array([0, 15]))
     s = decontaminate.Segment.build(h, np.arange(8))
