@@ -75,21 +75,34 @@ def encode_pages(with_contexts: DataFrame) -> DataFrame:
     return with_contexts.select("vec_id", "ctx", "bits").mapInArrow(run, "vec_id long, n_bytes long, payload binary")
 
 
-def greedy_clusters(g: DataFrame, page_size: int = 256, most: int = 3) -> DataFrame:
-    """(vec_id, leader): within pages of ``page_size`` glyphs in order, each joins the first leader at most ``most`` bits away, or leads."""
+def greedy_clusters(g: DataFrame, most: int = 3, reach: int = 2) -> DataFrame:
+    """(vec_id, leader): in order, each glyph joins the first leader at most ``most`` pixels away in some shift by at most ``reach``, or leads.
+
+    Distances are those of :func:`dictionary.shifted_distance`. Each glyph depends on all before it, so one task takes them all.
+    """
+    import numpy as np
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        leaders, out = [], []
-        for i, hi, lo in zip(pdf.vec_id.tolist(), pdf.hi.tolist(), pdf.lo.tolist()):
-            found = next((k for k, h, w in leaders if ((h ^ hi).bit_count() + (w ^ lo).bit_count()) <= most), None)
-            if found is None:
-                leaders.append((int(i), int(hi), int(lo)))
-            out.append(int(i) if found is None else found)
-        return pd.DataFrame({"vec_id": pdf.vec_id, "leader": out})
+        ones = np.array([i.bit_count() for i in range(256)], np.uint8)
+        rows = np.stack([pdf[w].to_numpy() >> 24 - 8 * i & 255 for w in ("hi", "lo") for i in range(4)], 1).astype(np.uint8)
+        ids, leaders, names, out = pdf.vec_id.tolist(), np.zeros((len(pdf), 8), np.uint8), [], []
+        for i, own in zip(ids, rows):
+            near = np.zeros(len(names), dtype=bool)
+            for dx in range(-reach, reach + 1):
+                moved = own >> dx if dx >= 0 else own << -dx
+                for dy in range(-reach, reach + 1):
+                    y = np.arange(max(dy, 0), 8 + min(dy, 0))
+                    near |= ones[leaders[: len(names), y] ^ moved[y - dy]].sum(1) <= most
+            if near.any():
+                out.append(names[int(near.argmax())])
+            else:
+                leaders[len(names)] = own
+                names.append(i)
+                out.append(i)
+        return pd.DataFrame({"vec_id": ids, "leader": out})
 
     from pyspark.sql import functions as F
 
-    paged = g.select("vec_id", "hi", "lo", F.floor(F.col("vec_id") / page_size).alias("page"))
-    return paged.groupBy("page").applyInPandas(one, "vec_id long, leader long")
+    return g.select("vec_id", "hi", "lo", F.lit(0).alias("every")).groupBy("every").applyInPandas(one, "vec_id long, leader long")

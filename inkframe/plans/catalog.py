@@ -190,6 +190,15 @@ def shifted_distance_pairs(spark, sf_dir):
     return j.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), best.alias("m")).select("a", "b", "m.err", "m.dx", "m.dy")
 
 
+@query()
+def shifted_distance_all_pairs(spark, sf_dir):
+    """All pairs of glyphs, which are of one size."""
+    g = _glyphs(spark, sf_dir).select("vec_id", "hi", "lo")
+    j = g.select(F.col("vec_id").alias("a"), "hi", "lo").join(g.select(F.col("vec_id").alias("b"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2")), F.col("a") < F.col("b"))
+    best = dictionary.shifted_distance(dictionary.byte_rows("hi", "lo"), dictionary.byte_rows("hi2", "lo2"))
+    return j.select("a", "b", best.alias("m")).select("a", "b", "m.err", "m.dx", "m.dy")
+
+
 @query("SELECT vec_id, comp, x, y, width, height, n FROM (WITH " + _COMP + " SELECT * FROM comp)")
 def components_8(spark, sf_dir):
     return _comps(spark, sf_dir)

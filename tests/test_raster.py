@@ -125,3 +125,36 @@ def test_dictionary_stream_equals_batch(spark, tmp_path):
     got = streams.read_dictionary(spark, str(tmp_path / "out"))
     key = lambda df: sorted(tuple(r) for r in df.select("hi", "lo", "template_id", "usage").collect())
     assert key(got) == key(dictionary.templates(spark.read.parquet(str(tmp_path / "in"))))
+
+
+def _shifted(a, b):
+    """Least error over the shifts of a by two at most; both are (hi, lo)."""
+    rows = lambda g: [w >> 24 - 8 * i & 255 for w in g for i in range(4)]
+    a, b = rows(a), rows(b)
+    move = lambda r, dx: r >> dx if dx >= 0 else r << -dx & 255
+    return min(sum((move(a[y - dy], dx) ^ b[y]).bit_count() for y in range(8) if 0 <= y - dy < 8) for dy in range(-2, 3) for dx in range(-2, 3))
+
+
+def test_distances_and_clusters_over_all_glyphs(spark):
+    import random
+
+    from inkframe.operators import kernels
+    from inkframe.plans import catalog
+
+    rnd = random.Random(6)
+    glyphs = [(rnd.getrandbits(32), rnd.getrandbits(32)) for _ in range(6)]
+    glyphs += [(hi >> 1 & 0x7F7F7F7F, lo >> 1 & 0x7F7F7F7F) for hi, lo in glyphs] + [(hi, lo ^ 1) for hi, lo in glyphs]
+    # shifted copies, and copies further than 256 ids away
+    ids = [i * 100 for i in range(len(glyphs))]
+    df = spark.createDataFrame([(i, *g) for i, g in zip(ids, glyphs)], "vec_id long, hi long, lo long")
+    want, leaders = [], []
+    for i, g in zip(ids, glyphs):
+        near = [k for k, x in leaders if _shifted(g, x) <= 3]
+        if not near:
+            leaders.append((i, g))
+        want.append((i, near[0] if near else i))
+    assert sorted(map(tuple, kernels.greedy_clusters(df).collect())) == want and len(leaders) < len(glyphs) - 6
+    sf = "/root/testdata/sf0.001"
+    every = [(r.vec_id, (r.hi, r.lo)) for r in catalog._glyphs(spark, sf).orderBy("vec_id").limit(20).collect()]
+    got = {(r.a, r.b): r.err for r in catalog.QUERIES["shifted_distance_all_pairs"](spark, sf).where(f"b <= {every[-1][0]}").collect()}
+    assert got == {(a, b): _shifted(x, y) for a, x in every for b, y in every if a < b} and len(got) == 190
