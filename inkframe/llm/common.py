@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one (tests) gets a temporary folder."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="inkframe-")
         sc.setCheckpointDir(base)
     return base
@@ -44,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "numbered") -> DataFrame:
+    """The rows, stored, with ``_row``, a number of their own: keys may be null or repeat."""
+    return scratch.store(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(v, comp): the smallest vertex that each vertex of ``edges`` (a, b) reaches.
 

@@ -101,7 +101,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words, and their number by text."""
     low = K.LOWER[buf]
     starts, ends, counts = K.word_spans(low, off, K.ALNUM)
-    return K.span_hash(K.prefix_hash(low), starts, ends), counts
+    return K.span_hash(low, starts, ends), counts
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -50,7 +50,7 @@ def sets_of(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndar
     """(hashes, sizes): each text's distinct shingles, ascending."""
     low = K.LOWER[buf]
     starts, ends, counts = K.word_spans(low, off, K.SPACED)
-    h, counts = K.shingles(K.span_hash(K.prefix_hash(low), starts, ends), counts, k)
+    h, counts = K.shingles(K.span_hash(low, starts, ends), counts, k)
     doc = np.repeat(np.arange(len(counts)), counts)
     order = np.argsort(h)
     order = order[np.argsort(doc[order].astype(np.uint16) if len(counts) < 65536 else doc[order], kind="stable")]

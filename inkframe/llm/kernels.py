@@ -2,8 +2,8 @@
 
 Everything here works on one flat ``uint8`` buffer holding many texts back to back, with
 ``off`` (n + 1 offsets) marking where each text starts; nothing loops over characters.
-Hashes are 64-bit: a polynomial over the bytes modulo 2**64 with an odd base, read off
-prefix sums and finished by a bit mixer.
+Hashes are 64-bit chains of a bit mixer; polynomials modulo 2**64 are avoided, as they
+have known collisions for every base.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ import pyarrow as pa
 #: Bytes of text handled by one vectorised step; a longer text is a step of its own.
 STEP_BYTES = 256 << 10
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+#: Spans of more bytes are hashed one by one by XXH3.
+_LONG = 64
 _U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def _mix_int(x: int) -> int:
@@ -27,10 +29,6 @@ def _mix_int(x: int) -> int:
     return x ^ (x >> 31)
 
 
-_BYTE = np.array([_mix_int(i * 0x9E3779B97F4A7C15 % (1 << 64) + 0x1234567) | 1 for i in range(1, 257)], dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every output bit depends on every input bit."""
     x = x ^ (x >> _U(30))
@@ -41,27 +39,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, STEP_BYTES + 1)
-        steps = np.full(size, _BASE if kind == "up" else _INV, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(steps)
-    return have[:n]
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one integer, without a copy; zeros follow the last byte."""
+    return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte span [start, end), wherever it stands: a chain of mixed 8-byte words, XXH3 for long spans.
 
+    Each step of the chain mixes before the next word enters, so no two words of a span cancel out as in a polynomial.
+    """
+    size = np.minimum(end - start, _LONG)
+    out = mix(size.astype(np.uint64) * _ODD)
+    words, at, now = eights(buf), start, np.arange(len(start))
+    for j in range(0, int(size.max(initial=0)), 8):
+        if j:
+            now = now[size[now] > j]
+            at = start[now] + j
+        out[now] = mix((out[now] ^ (words[at] & _LOW_BYTES[np.minimum(size[now] - j, 8)])) * _ODD)
+    long = np.flatnonzero(end - start > _LONG)
+    if len(long):
+        import xxhash
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums P with P[j] - P[i] standing for bytes i..j; see :func:`span_hash`."""
-    out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * _power("up", len(buf)), out=out[1:])
+        data = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())]
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte span [start, end), independent of where it stands."""
-    inv = _power("down", len(prefix))
-    return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64))
+def pair_name(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Identifier of what ``x`` names followed by what ``y`` names."""
+    return mix((mix(x) + y) * _ODD)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

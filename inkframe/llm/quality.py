@@ -67,7 +67,7 @@ def grams(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     ends = np.append(starts[1:], len(buf))
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
-    one = K.span_hash(K.prefix_hash(buf), starts, ends)
+    one = K.span_hash(buf, starts, ends)
     doc = np.searchsorted(off, starts, side="right") - 1
     pair = doc[1:] == doc[:-1]
     two = K.mix(one[:-1] * np.uint64(3) + one[1:])[pair]
@@ -163,14 +163,13 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     n = len(off) - 1
     starts, ends, words = K.word_spans(buf, off, K.SPACED)
-    prefix = K.prefix_hash(buf)
     own = np.repeat(np.arange(n), words)
     # words in windows of three that occur twice or more
     repeated = np.zeros(len(starts) + 1, np.int64)
     at, size = K.within(words), np.repeat(words, words)
     first = np.flatnonzero(at + 3 <= size)
     if len(first):
-        h = K.span_hash(prefix, starts, ends)
+        h = K.span_hash(buf, starts, ends)
         window = K.mix(h[first] + h[first + 1] * np.uint64(0x9E3779B97F4A7C15) + h[first + 2] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ K.mix(own[first].astype(np.uint64) + np.uint64(1))
         order = np.argsort(window)
         same = window[order][1:] == window[order][:-1]
@@ -192,7 +191,7 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     stop = np.maximum(stop, begin)
     full = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, doc = begin[full], stop[full], doc[full]
-    line = K.span_hash(prefix, begin, stop) ^ K.mix(doc.astype(np.uint64) + np.uint64(7))
+    line = K.span_hash(buf, begin, stop) ^ K.mix(doc.astype(np.uint64) + np.uint64(7))
     distinct = np.unique(line, return_index=True)[1]
     bounds = np.searchsorted(starts, off)
     return {

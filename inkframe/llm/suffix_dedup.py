@@ -1,19 +1,22 @@
 """Suffix dedup (operator 1): removes bytes covered by a 400-byte string that starts elsewhere too.
 
-Bucket-pointer refinement, dealt out and cut off at depth ``length``. Suffixes begin in the buckets of their q-grams. A
-bucket is refined by the identifiers of what follows at later offsets, until only suffixes that agree for ``length``
-bytes share one. Two things make that fit a cluster. Identifiers are 64-bit hashes of the bytes they stand for, so
-any task finds the same identifier alone, and an identifier found once serves every suffix that reaches it. And of
-the suffixes only anchors enter the first round: the least q-gram hash of each ``length``-byte window. A window's anchor
-depends on its bytes alone, so equal windows meet in the bucket of one anchor, at one offset.
-
-Rounds: anchors' q-grams; runs of windows with one anchor (equal runs are one class and settle all their windows);
-for classes in buckets of several, groups of ``GROUP`` window starts, dropped if their common bytes occur once and
-settled if all their bytes occur twice; last, single windows of the groups left. Each round is an aggregation that
-combines before the shuffle, so a bucket of any size is never in one task.
-
-Texts are UTF-8 bytes; null counts as empty (its text stays null), and texts shorter than ``length`` lose nothing. Equal
-rows are copies of one another, so both lose what they share. Columns named like a result give way to it.
+Bucket-pointer refinement, dealt out and cut off at depth ``length``. Suffixes begin in the buckets of their first 8
+bytes. A round refines every bucket by the identifier, of the round before, of the bucket that the suffix lies in so many
+bytes later, so that identifiers of 16, 32, 64, ... bytes each reuse those found just before (:func:`names`); two of
+them, overlapping, name a string of any size. An identifier is a 64-bit hash of the two it comes from, in place of a rank:
+any task finds the same one alone, and no round has to sort all suffixes of the corpus.
+
+Only anchors enter the sorts that span the cluster: the least 64-byte identifier of each ``length``-byte window. A window's
+anchor depends on its bytes alone, so equal windows meet in the bucket of one anchor, at one offset. These buckets are
+refined by later (and earlier) offsets until only strings that agree for ``length`` bytes share one: first by the whole
+run of windows that an anchor stands for (equal runs settle all their windows); where a bucket still has several, by
+groups of ``GROUP`` window starts, dropped if their common bytes occur once and settled if all their bytes occur
+twice; last by single windows. Each is an aggregation that combines before the shuffle, so a bucket of any size is never
+in one task.
+
+Texts are UTF-8 bytes; null counts as empty (its text stays null), and texts shorter than ``length`` lose nothing, an
+empty table gives no rows. Long texts are worked on in segments. Equal rows are copies of one another, so both lose what
+they share; keys aren't read. Columns named like a result give way to it; others may have any name.
 """
 
 from __future__ import annotations
@@ -45,21 +48,44 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - k : width - k + n])
 
 
+def names(buf: np.ndarray, least: int, most: int) -> dict[int, np.ndarray]:
+    """Bucket identifiers of the strings of ``least`` * 1, 2, 4, ... bytes from each place on, while shorter than ``most``.
+
+    The first buckets are the 8 bytes at a place; a round refines each by the identifier, of the round before, of what follows.
+    """
+    size, now, out = 8, K.mix(K.eights(buf)[: max(len(buf) - 7, 0)]), {}
+    while size < most:
+        if size >= least:
+            out[size] = now
+        now = K.pair_name(now[: max(len(now) - size, 0)], now[size:])
+        size *= 2
+    return out
+
+
+def span_names(ids: dict[int, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Identifier of each span: of the longest strings with one that begin and end it, which overlap or meet, and its size."""
+    out = np.zeros(len(start), np.uint64)
+    for size, name in ids.items():
+        some = np.flatnonzero((end - start >= size) & (end - start < 2 * size))
+        if len(some):
+            out[some] = K.pair_name(name[start[some]], name[end[some] - size] ^ K.mix((end - start)[some].astype(np.uint64)))
+    return out
+
+
 def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = QGRAM) -> tuple[np.ndarray, ...]:
     """(bucket, run, text, lo, span, left): for each anchor the windows lo..lo + span of one text that it stands for; it is at lo + left."""
     empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
     n = len(buf) - length + 1
     if n < 1:
         return empty
-    prefix = K.prefix_hash(buf)
-    gram = K.mix((prefix[q:] - prefix[:-q]) * K._power("down", len(prefix))[: len(buf) - q + 1])
     width = length - q + 1
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     out = []
     for s in range(0, n, _SEGMENT):
         m = min(_SEGMENT, n - s)
-        part = gram[s : s + m + width - 1]
-        at = (_sliding_min((part & ~_LOW) | np.arange(len(part), dtype=np.uint64), width) & _LOW).astype(np.int64) + s
+        ids = names(buf[s : s + m + length - 1], q, length + width)
+        part = ids[q]
+        at = (_sliding_min((part & ~_LOW) | np.arange(len(part), dtype=np.uint64), width) & _LOW).astype(np.int64)
         first, last = doc[s : s + m], doc[s + length - 1 : s + length - 1 + m]
         new = np.ones(m, dtype=bool)
         new[1:] = (at[1:] != at[:-1]) | (first[1:] != first[:-1]) | (last[1:] != last[:-1])
@@ -67,13 +93,11 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = QGRAM)
         hi = np.append(lo[1:], m) - 1
         ok = first[lo] == last[lo]
         lo, hi = lo[ok], hi[ok]
-        out.append((lo + s, hi + s, at[lo]))
-    lo, hi, at = (np.concatenate(x) for x in zip(*out))
-    if not len(lo):
-        return empty
-    left = at - lo
-    run = K.span_hash(prefix, lo, hi + length) ^ K.mix(left.astype(np.uint64) << np.uint64(20) | (hi - lo).astype(np.uint64))
-    return gram[at], run, doc[lo], lo - off[doc[lo]], hi - lo, left
+        left = at[lo] - lo
+        run = span_names(ids, lo, hi + length) ^ K.mix(left.astype(np.uint64) << np.uint64(20) | (hi - lo).astype(np.uint64))
+        text = doc[lo + s]
+        out.append((part[at[lo]], run, text, lo + s - off[text], hi - lo, left))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else empty
 
 
 def _pack(text: str):
@@ -139,10 +163,10 @@ def _groups(batches):
         # distances from the anchor back to the window starts
         near, far = np.maximum(j * GROUP, (left - span)[i]), np.minimum(j * GROUP + GROUP - 1, left[i])
         base = off[i] + left[i]
-        prefix = K.prefix_hash(buf)
-        core = _keyed(a[i], j, K.span_hash(prefix, base - j * GROUP, base - j * GROUP - GROUP + 1 + LENGTH))
+        ids = names(buf, 256, 512)
+        core = _keyed(a[i], j, span_names(ids, base - j * GROUP, base - j * GROUP - GROUP + 1 + LENGTH))
         full = far - near == GROUP - 1
-        whole = _keyed(a[i], j + 1000, K.span_hash(prefix, base - far, base - near + LENGTH))
+        whole = _keyed(a[i], j + 1000, span_names(ids, base - far, base - near + LENGTH))
         at = lo[i] + left[i]
         yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole, mask=~full), batch.column("id").take(pa.array(i)), pa.array(j), batch.column("one").take(pa.array(i)), pa.array(row[i]), pa.array(at - far), pa.array(at - near + LENGTH)], names=["core", "whole", "id", "j", "one", "row", "begin", "end"])
 
@@ -159,7 +183,7 @@ def _windows(batches):
         count = far - near + 1
         g, d = np.repeat(np.arange(len(i)), count), K.ragged(near, count)
         at = off[i[g]] + left[i[g]] - d
-        key = _keyed(a[i[g]], d + 100_000, K.span_hash(K.prefix_hash(buf), at, at + LENGTH))
+        key = _keyed(a[i[g]], d + 100_000, span_names(names(buf, 256, 512), at, at + LENGTH))
         yield pa.RecordBatch.from_arrays([*map(pa.array, (key, row[i[g]], (lo + left)[i[g]] - d, is_open[g]))], names=["key", "row", "begin", "open"])
 
 
@@ -214,11 +238,15 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFr
     """The rows with n_bytes, n_removed, n_spans and kept_sha256; with_text also replaces the text by what is kept (a code point cut in two is dropped)."""
     s = Scratch(docs.sparkSession, "suffix")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in RESULTS))
-    names = [c for c in docs.columns if c != text]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-    packed = s.store(docs.mapInArrow(_pack(text), f"{fields}, _z binary").withColumn("_row", F.monotonically_increasing_id()), "packed")
+    # the rows' own columns go by numbers meanwhile, so none can clash
+    plain, names = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), docs.columns
+    own = f"c{names.index(text)}"
+    rest = [c for c in plain.columns if c != own]
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in plain.schema.fields if f.name != own)
+    packed = s.store(plain.mapInArrow(_pack(own), f"{fields}_z binary").withColumn("_row", F.monotonically_increasing_id()), "packed")
     spans = repeated_spans(packed, s).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
     both = packed.join(spans.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
-    kinds = ", ".join([fields, *(f"{k} {v}" for k, v in RESULTS.items())])
-    out = both.mapInArrow(_cut(names, with_text), kinds + (", _kept string" if with_text else ""))
-    return out.select(*(F.col("_kept").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns), *RESULTS) if with_text else out
+    kinds = fields + ", ".join(f"{k} {v}" for k, v in RESULTS.items())
+    out = both.mapInArrow(_cut(rest, with_text), kinds + (", _kept string" if with_text else ""))
+    of = {c: F.col("_kept" if c == own else c).alias(n) for c, n in zip(plain.columns, names)}
+    return out.select(*(v for c, v in of.items() if with_text or c != own), *RESULTS)
