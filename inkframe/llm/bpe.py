@@ -10,14 +10,16 @@ the raw bytes of the ids.
 Inside a piece, a run of non-space characters with the space before it always starts and ends at a pre-token
 boundary; the ids of such runs are remembered, so the merges are run once for each distinct run and worker.
 
-Null and empty texts give no ids; equal rows give equal rows; columns other than the key and the text are dropped,
-so none can clash.
+Null and empty texts give no ids; equal rows give equal rows, also where keys are equal or null; an empty table gives no
+rows; columns other than the key and the text are dropped, so none can clash.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from inkframe.llm import kernels as K
 from inkframe.llm.common import Scratch
 
-#: Runs of one worker that are remembered before it starts afresh.
-MEMO = 600_000
-#: Same boundaries as the pre-tokeniser's at every blank.
+#: Entries and bytes of keys and values that a task remembers in one generation; it holds two.
+MEMO, MEMO_BYTES = 100_000, 4 << 20
+#: Fixed value: the pattern whose matches end wherever those of ``RUN`` do.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Python takes these for blanks, the pre-tokeniser doesn't.
 ODD = "\x1c\x1d\x1e\x1f"
@@ -45,41 +48,51 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
-class _Memo(dict):
+class Memo(dict):
+    """What ``fill`` gives for a key, bounded: what wasn't asked for since the last time it was full is forgotten."""
+
     def __init__(self, fill: Callable[[str], bytes]) -> None:
-        self.fill = fill
+        self.fill, self.size, self.old = fill, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= MEMO or self.size >= MEMO_BYTES:
+            self.old, self.size = dict(self), 0
             self.clear()
-        out = self[key] = self.fill(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.fill(key)
+        if len(key) < 256:  # longer runs hardly come again
+            self[key] = out
+            self.size += len(key) + len(out)
         return out
 
 
-_loaded: dict[int, tuple] = {}
+def _library(ranks: bytes, pattern: str):
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}), table
 
 
-def coder(ranks: bytes, pattern: str) -> tuple[Callable[[str], bytes], list[bytes]]:
-    """(text -> ids as little-endian 32-bit integers, bytes by id), kept for the life of the worker."""
-    key = hash((ranks, pattern))
-    if key not in _loaded:
-        import tiktoken
+def encoder(ranks: bytes, pattern: str) -> Callable[[str], bytes]:
+    """text -> ids as little-endian 32-bit integers. What it remembers goes with it, at the end of a task.
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        lib = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        memo = _Memo(lambda run: np.array(lib.encode_ordinary(run), dtype="<u4").tobytes())
-        get, runs = memo.__getitem__, RUN.findall
+    Runs are encoded on their own where the pattern is the one whose boundaries ``RUN`` shares; with another, texts are whole.
+    """
+    lib, _ = _library(ranks, pattern)
+    whole = lambda text: array("I", lib.encode_ordinary(text)).tobytes()
+    if pattern != PATTERN:
+        return whole
+    get, runs = Memo(whole).__getitem__, RUN.findall
+    return lambda text: whole(text) if any(c in text for c in ODD) else b"".join(map(get, runs(text)))
 
-        def encode(text: str) -> bytes:
-            if any(c in text for c in ODD):
-                return np.array(lib.encode_ordinary(text), dtype="<u4").tobytes()
-            return b"".join(map(get, runs(text)))
 
-        by_id = [b""] * (max(table.values()) + 1)
-        for token, i in table.items():
-            by_id[i] = token
-        _loaded[key] = encode, by_id
-    return _loaded[key]
+def bytes_by_id(ranks: bytes) -> list[bytes]:
+    table = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, ranks.splitlines())]
+    out = [b""] * (max(i for i, _ in table) + 1)
+    for i, token in table:
+        out[i] = token
+    return out
 
 
 def _map_text(fn: Callable[[str], bytes]) -> Callable:
@@ -97,7 +110,7 @@ def _map_text(fn: Callable[[str], bytes]) -> Callable:
 
 def _with_ids(df: DataFrame, ranks, pattern: str) -> DataFrame:
     def run(batches):
-        yield from _map_text(coder(ranks.value, pattern)[0])(batches)
+        yield from _map_text(encoder(ranks.value, pattern))(batches)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "text")
     return df.mapInArrow(run, f"{fields}, ids binary")
@@ -133,14 +146,11 @@ def _edges(chunk: int, overlap: int):
     return run
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
-    """(key, ids): the ids of every whole text as little-endian unsigned 32-bit integers."""
+def _split(docs: DataFrame, shared, pattern: str, key: str, text: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(key, text) of the texts to be encoded as a whole, and (key, ids) of those that were cut, encoded and stitched."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(ranks))
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = _with_ids(docs.where(~long), shared, pattern)
-
+    long = F.coalesce(F.length("text") > chunk, F.lit(False)) if pattern == PATTERN else F.lit(False)
     kind = docs.schema["key"].dataType.simpleString()
     cut = docs.where(long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_chunks(chunk, overlap), f"row long, key {kind}, part long, final boolean, text string")
     parts = Scratch(spark, "bpe").store(cut.repartition("row", "part"), "chunks")
@@ -157,8 +167,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     torn = parts.where("torn").groupBy("row").agg(F.first("key").alias("key"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("text"))
     pieces = _with_ids(parts.where("not torn").drop("torn"), shared, pattern)
     joined = pieces.groupBy("row").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("all"))
-    joined = joined.mapInArrow(_joined, f"key {kind}, ids binary")
-    return short.unionByName(joined).unionByName(_with_ids(torn.select("key", "text"), shared, pattern)).withColumnRenamed("key", key)
+    return docs.where(~long).unionByName(torn.select("key", "text")), joined.mapInArrow(_joined, f"key {kind}, ids binary")
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
+    """(key, ids): the ids of every whole text as little-endian unsigned 32-bit integers."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+    texts, joined = _split(docs, shared, pattern, key, text, chunk, overlap)
+    return _with_ids(texts, shared, pattern).unionByName(joined).withColumnRenamed("key", key)
 
 
 def _joined(batches):
@@ -174,8 +190,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks))
 
     def run(batches):
-        by_id = coder(shared.value, pattern)[1]
-        get = by_id.__getitem__
+        get = bytes_by_id(shared.value).__getitem__
         for batch, buf, off in K.steps(batches, "ids", 4 << 20):
             all_ids = np.ascontiguousarray(buf).view("<u4")
             out = [b"".join(map(get, all_ids[a:b].tolist())) for a, b in zip(off[:-1] // 4, off[1:] // 4)]
@@ -185,7 +200,22 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{fields}, decoded binary")
 
 
-def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every text."""
-    out = decode(encode(docs, ranks, pattern, key), ranks, pattern)
-    return out.select(key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every text: its ids, and the bytes that they are decoded to, told in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+    texts, joined = _split(docs, shared, pattern, key, text, chunk, overlap)
+    result = f"key {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def told(column: str):
+        def run(batches):
+            encode_one = encoder(shared.value, pattern) if column == "text" else lambda ids: ids
+            get = bytes_by_id(shared.value).__getitem__
+            for batch, _, _ in K.steps(batches, column, 1 << 20):
+                ids = [encode_one(x) if x else b"" for x in batch.column(column).to_pylist()]
+                decoded = (b"".join(map(get, array("I", x))) for x in ids)
+                sha = [pa.array([hashlib.sha256(x).hexdigest() for x in each], pa.string()) for each in (ids, decoded)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) // 4 for x in ids], pa.int64()), *sha], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return run
+
+    return texts.mapInArrow(told("text"), result).union(joined.mapInArrow(told("ids"), result)).withColumnRenamed("key", key)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkframe.llm import kernels as K
-from inkframe.llm.bpe import coder, read_ranks
+from inkframe.llm.bpe import encoder, read_ranks
 from inkframe.llm.common import Scratch
 
 #: Bytes of one block.
@@ -34,7 +34,7 @@ def _write(shared, pattern: str, end: int, block: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encode = coder(shared.value, pattern)[0]
+        encode = encoder(shared.value, pattern)
         part, seq, keys, held = TaskContext.get().partitionId(), 0, [], bytearray()
         stop = struct.pack("<H", end)
 

@@ -2,22 +2,27 @@
 
 Texts are dealt out by ranges of their key, so that file after file holds them in ascending order. Each task encodes
 its texts and writes shards: one compressed file each, holding the ids of its texts as a wavelet matrix. Bit plane
-``l`` holds bit ``levels - 1 - l`` of every id, each plane stably sorted by the bits before it (zeros first), with a
-running count of ones for every 512 bits. Rank and select over the planes give the id at a place, the number of
-times an id occurs before a place, and the place of its k-th occurrence, without decoding the rest.
+``l`` holds bit ``levels - 1 - l`` of every id, each plane stably sorted by the bits before it (zeros first). Planes are
+compressed in blocks of ``BLOCK`` bits, and the ones before each block are stored beside them. Rank and select over the
+planes give the id at a place, the number of times an id occurs before a place, and the place of its k-th occurrence,
+each from one or two inflated blocks of every plane.
 
 A shard is one row of a Parquet table in the shared folder, since only Spark's writers reach every kind of store;
 ``WaveletShard.to_bytes`` gives the same bytes for a plain file. A text is never split between shards.
 
-Null and empty texts hold the end id alone. Equal keys stay neighbours, ordered by text. Null keys come first.
+Null and empty texts hold the end id alone. Equal keys stay neighbours, ordered by text. Null keys come first. An empty
+table gives no shards and no rows. Only key and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,77 +31,107 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkframe.llm import kernels as K
-from inkframe.llm.bpe import _Memo, read_ranks
+from inkframe.llm.bpe import Memo, read_ranks
 from inkframe.llm.common import Scratch
 
 MAGIC = b"WVMX"
 #: Tokens after which a shard is closed.
 SHARD = 1 << 19
-#: Bits for which one count of ones is kept.
-BLOCK = 512
+#: Bits of a plane that are compressed together, with a stored count of the ones before them.
+BLOCK = 1 << 16
+#: Blocks that a shard keeps inflated.
+_KEPT = 64
 
 
 class WaveletShard:
-    """Ids of consecutive texts; every query works on the bit planes."""
+    """Ids of consecutive texts. ``blocks[l][b]`` is a compressed block of plane l, ``ones[l][b]`` the ones before it, ``zeros[l]`` the plane's zeros.
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int, keys: np.ndarray, sizes: np.ndarray) -> None:
-        self.planes, self.zeros, self.n, self.keys, self.sizes = planes, zeros, n, keys, sizes
-        self.ones = [np.concatenate([[0], np.cumsum(np.bitwise_count(p).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64))]) for p in planes]
+    Lookups inflate the blocks that they touch, one or two of each plane.
+    """
+
+    def __init__(self, blocks: list[list[bytes]], ones: np.ndarray, zeros: list[int], n: int, keys: np.ndarray, sizes: np.ndarray) -> None:
+        self.blocks, self.ones, self.zeros, self.n, self.keys, self.sizes = blocks, ones, zeros, n, keys, sizes
+        self._open: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray, keys: np.ndarray, sizes: np.ndarray, levels: int) -> WaveletShard:
-        planes, zeros, n = [], [], len(ids)
-        room = -(-n // BLOCK) * BLOCK // 8
-        for level in range(levels - 1, -1, -1):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
+        blocks, zeros, n = [], [], len(ids)
+        count = max(1, -(-n // BLOCK))
+        ones = np.zeros((levels, count + 1), np.int64)
+        for plane, level in enumerate(range(levels - 1, -1, -1)):
             bits = (ids >> level) & 1 != 0
-            packed = np.zeros(room, np.uint8)
+            packed = np.zeros(count * BLOCK // 8, np.uint8)
             packed[: -(-n // 8)] = np.packbits(bits, bitorder="little")
             low = ids[~bits]
             ids = np.concatenate([low, ids[bits]])
-            planes.append(packed.view("<u8"))
+            each = packed.reshape(count, -1)
+            ones[plane, 1:] = np.cumsum(np.bitwise_count(each).sum(1, dtype=np.int64))
+            blocks.append([z.compress(x) for x in each])
             zeros.append(len(low))
-        return cls(planes, zeros, n, keys, sizes)
+        return cls(blocks, ones, zeros, n, keys, sizes)
 
     def to_bytes(self) -> bytes:
-        """Header, keys, sizes, zeros by plane, then each plane; all but the first 4 + 4 bytes deflated by zstd."""
-        import zstandard
-
-        body = struct.pack("<QQQ", self.n, len(self.keys), len(self.planes)) + self.keys.astype("<i8").tobytes() + self.sizes.astype("<i8").tobytes() + np.array(self.zeros, "<i8").tobytes() + b"".join(p.tobytes() for p in self.planes)
-        return MAGIC + struct.pack("<I", 1) + zstandard.ZstdCompressor(level=1).compress(body)
+        """Magic, version, number of ids, texts and planes; keys, sizes, zeros by plane, ones before and bytes of each block; the blocks."""
+        levels = len(self.blocks)
+        lengths = np.array([[len(b) for b in plane] for plane in self.blocks], "<i8")
+        numbers = [self.keys, self.sizes, np.array(self.zeros), self.ones.ravel(), lengths.ravel()]
+        head = struct.pack("<IQQQQ", 2, self.n, len(self.keys), levels, self.ones.shape[1] - 1)
+        return MAGIC + head + b"".join(x.astype("<i8").tobytes() for x in numbers) + b"".join(b for plane in self.blocks for b in plane)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletShard:
-        import zstandard
-
-        if data[:4] != MAGIC or struct.unpack("<I", data[4:8])[0] != 1:
+        if data[:4] != MAGIC or struct.unpack_from("<I", data, 4)[0] != 2:
             raise ValueError("not a wavelet shard")
-        body = zstandard.ZstdDecompressor().decompress(data[8:])
-        n, docs, levels = struct.unpack_from("<QQQ", body)
-        words = np.frombuffer(body, "<i8", 2 * docs + levels, 24)
-        planes = np.frombuffer(body, "<u8", offset=24 + 8 * len(words))
-        return cls(list(planes.reshape(levels, -1)) if levels else [], words[2 * docs :].tolist(), n, words[:docs], words[docs : 2 * docs])
+        n, docs, levels, count = struct.unpack_from("<QQQQ", data, 8)
+        parts = np.cumsum([0, docs, docs, levels, levels * (count + 1), levels * count])
+        numbers = np.frombuffer(data, "<i8", int(parts[-1]), 40)
+        keys, sizes, zeros, ones, lengths = (numbers[a:b] for a, b in zip(parts, parts[1:]))
+        ends = 40 + 8 * len(numbers) + np.cumsum(lengths)
+        every = [data[e - size : e] for e, size in zip(ends.tolist(), lengths.tolist())]
+        return cls([every[i * count : (i + 1) * count] for i in range(levels)], ones.reshape(levels, count + 1), zeros.tolist(), n, keys, sizes)
+
+    def _block(self, level: int, b: int) -> np.ndarray:
+        """A block as 64-bit words."""
+        have = self._open.get((level, b))
+        if have is None:
+            import zstandard
+
+            if len(self._open) >= _KEPT:
+                self._open.clear()
+            have = self._open[level, b] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.blocks[level][b]), "<u8")
+        return have
 
     def _rank(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        block = i // BLOCK
-        words = self.planes[level][block * (BLOCK // 64) : i // 64]
-        n = int(self.ones[level][block]) + int(np.bitwise_count(words).sum())
-        return n + (int(self.planes[level][i // 64]) & ((1 << (i % 64)) - 1)).bit_count() if i % 64 else n
+        b, rest = divmod(i, BLOCK)
+        n = int(self.ones[level, b])
+        if rest:
+            words = self._block(level, b)
+            n += int(np.bitwise_count(words[: rest // 64]).sum())
+            if rest % 64:
+                n += (int(words[rest // 64]) & ((1 << rest % 64) - 1)).bit_count()
+        return n
+
+    def _bit(self, level: int, i: int) -> int:
+        b, rest = divmod(i, BLOCK)
+        return int(self._block(level, b)[rest // 64]) >> rest % 64 & 1
 
     def _select(self, level: int, k: int, bit: int) -> int:
         """Place of the k-th (from 0) bit of that value."""
-        counts = self.ones[level] if bit else np.arange(len(self.ones[level])) * BLOCK - self.ones[level]
-        at = (int(np.searchsorted(counts, k, side="right")) - 1) * BLOCK
-        bits = np.unpackbits(self.planes[level][at // 64 : at // 64 + BLOCK // 64].view(np.uint8), bitorder="little")
-        return at + int(np.flatnonzero(bits == bit)[k - int(counts[at // BLOCK])])
+        counts = self.ones[level] if bit else np.arange(self.ones.shape[1]) * BLOCK - self.ones[level]
+        b = int(np.searchsorted(counts, k, side="right")) - 1
+        bits = np.unpackbits(self._block(level, b).view(np.uint8), bitorder="little")
+        return b * BLOCK + int(np.flatnonzero(bits == bit)[k - int(counts[b])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
         for level, zeros in enumerate(self.zeros):
-            ones = self._rank(level, i)
-            bit = int(self.planes[level][i // 64]) >> (i % 64) & 1
+            ones, bit = self._rank(level, i), self._bit(level, i)
             out, i = out << 1 | bit, zeros + ones if bit else i - ones
         return out
 
@@ -125,9 +160,13 @@ class WaveletShard:
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the sorts from the last plane to the first."""
+        import zstandard
+
+        inflate = zstandard.ZstdDecompressor().decompress
         out = np.zeros(self.n, np.uint32 if len(self.zeros) > 16 else np.uint16)
-        for shift, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
-            bits = np.unpackbits(plane.view(np.uint8), count=self.n, bitorder="little").view(bool)
+        for shift, (plane, zeros) in enumerate(zip(self.blocks[::-1], self.zeros[::-1])):
+            packed = np.frombuffer(b"".join(map(inflate, plane)), np.uint8)
+            bits = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(out)
             back[~bits] = out[:zeros]
             back[bits] = out[zeros:] | (1 << shift)
@@ -135,9 +174,10 @@ class WaveletShard:
         return out
 
 
-#: Runs of letters, single numbers and runs of the rest, for code points below U+0240; as the tokenizer's own pattern.
+#: The pre-tokenizer's own pattern for lower-cased text without blanks, as far as code points go below U+0240.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ȿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ȿ0-9²³¹¼-¾]+")
-_loaded: dict[int, tuple] = {}
+#: Fixed value: a part of that pattern, by which a vocabulary with it is known.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -150,23 +190,32 @@ def _byte_letters() -> dict[int, str]:
 def _encoder(vocabulary: bytes):
     """(encode plain Latin text, encode any text, levels): ids as little-endian 32-bit integers, by the tokenizers library.
 
-    The tokenizer lower-cases and drops blanks, so what stands between two blanks is encoded on its own and remembered.
+    A tokenizer that lower-cases, drops blanks and splits by ``_PATTERN`` encodes what stands between two blanks on its own, so
+    that is remembered within the bound of ``Memo``. With any other tokenizer every text is encoded whole.
     """
-    key = hash(vocabulary)
-    if key not in _loaded:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_str(vocabulary.decode())
+    lib.encode_special_tokens = True
+    levels = max(1, (lib.get_vocab_size() - 1).bit_length())
+    whole = lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    about = json.loads(vocabulary)
+    if "Lowercase" not in json.dumps(about.get("normalizer")) or json.dumps(_PATTERN)[1:-1] not in json.dumps(about.get("pre_tokenizer")):
+        return whole, whole, levels
+    letters, tokenize = _byte_letters(), lib.model.tokenize
+
+    def piece(p: str) -> bytes:
+        # printable ASCII stands for itself
+        t = tokenize(p if p.isascii() and p.isprintable() else "".join(map(letters.__getitem__, p.encode())))
+        return array("I", [x.id for x in t]).tobytes()
 
-        lib = Tokenizer.from_str(vocabulary.decode())
-        lib.encode_special_tokens = True
-        letters, model = _byte_letters(), lib.model
-        pieces = _Memo(lambda p: np.array([x.id for x in model.tokenize("".join(map(letters.__getitem__, p.encode())))], "<u4").tobytes())
-        memo = _Memo(lambda w: b"".join(map(pieces.__getitem__, _PIECES.findall(w))))
-        get = memo.__getitem__
-        _loaded[key] = lambda t: b"".join(map(get, t.lower().split())), lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), max(1, (lib.get_vocab_size() - 1).bit_length())
-    return _loaded[key]
+    pieces = Memo(piece)
+    memo = Memo(lambda w: pieces[w] if w.isalpha() else b"".join(map(pieces.__getitem__, _PIECES.findall(w))))
+    get = memo.__getitem__
+    return lambda t: b"".join(map(get, t.lower().split())), whole, levels
 
 
-def _build(shared, end: int, part_of, shard: int):
+def _build(shared, end: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -204,24 +253,29 @@ def write_shards(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
-    return (scratch or Scratch(spark, "wavelet")).store(dealt.mapInArrow(_build(shared, end, None, shard), "part long, seq long, n_tokens long, file binary"), "shards")
+    return (scratch or Scratch(spark, "wavelet")).store(dealt.mapInArrow(_build(shared, end, shard), "part long, seq long, n_tokens long, file binary"), "shards")
 
 
-def _read(batches):
+def _read(batches, end: int):
     for batch in batches:
         for part, seq, data in zip(*(batch.column(n).to_pylist() for n in ("part", "seq", "file"))):
             shard = WaveletShard.from_bytes(data)
             ids, ends = shard.decode().astype("<u4"), np.cumsum(shard.sizes)
+            if any(shard.access(i) != end for i in (ends - 1).tolist()):
+                raise ValueError(f"shard {part}, {seq}: a text doesn't end with {end}")
             crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - shard.sizes).tolist(), ends.tolist())]
             n = len(crc)
             keys = pa.array(shard.keys, mask=shard.keys == -(1 << 63))
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([seq] * n, pa.int64()), keys, pa.array(ends - shard.sizes), pa.array(shard.sizes), pa.array(crc, pa.int64())], names=["part", "seq", "key", "at", "n_tokens", "ids_crc32"])
 
 
-def read_documents(shards: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of every text, from the files."""
-    # one row per shard; the running total over them is a handful of numbers next to the tokens
-    base = shards.select("part", "seq", "n_tokens").withColumn("base", F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)))
-    base = base.select("part", "seq", F.coalesce("base", F.lit(0)).alias("base"))
-    rows = shards.mapInArrow(_read, "part long, seq long, key long, at long, n_tokens long, ids_crc32 long")
+def read_documents(shards: DataFrame, key: str = "doc_id", end: int = 2) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32) of every text, from the files; each text's last id is looked up in the bit planes."""
+    # one number per shard; totals run within a part, and then over the parts
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = shards.select("part", "seq", "n_tokens")
+    within = sizes.withColumn("base", before(Window.partitionBy("part").orderBy("seq"))).drop("n_tokens")
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("first", before(Window.orderBy("part"))).drop("n_tokens")
+    base = within.join(parts, "part").select("part", "seq", (F.col("base") + F.col("first")).alias("base"))
+    rows = shards.mapInArrow(partial(_read, end=end), "part long, seq long, key long, at long, n_tokens long, ids_crc32 long")
     return rows.join(base, ["part", "seq"]).select(F.col("key").alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
