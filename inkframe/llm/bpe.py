@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from inkframe.llm import kernels as K
 from inkframe.llm.common import Scratch
 
-#: Entries and bytes of keys and values that a task remembers in one generation; it holds two.
-MEMO, MEMO_BYTES = 100_000, 4 << 20
+#: Bytes that a task remembers in one generation, of which it holds two, and what an entry takes besides key and value.
+MEMO_BYTES, _ENTRY = 32 << 20, 192
 #: Fixed value: the pattern whose matches end wherever those of ``RUN`` do.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -52,18 +52,19 @@ class Memo(dict):
     """What ``fill`` gives for a key, bounded: what wasn't asked for since the last time it was full is forgotten."""
 
     def __init__(self, fill: Callable[[str], bytes]) -> None:
-        self.fill, self.size, self.old = fill, 0, {}
+        self.fill, self.room, self.old = fill, MEMO_BYTES, {}
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMO or self.size >= MEMO_BYTES:
-            self.old, self.size = dict(self), 0
-            self.clear()
+    def __missing__(self, key):
         out = self.old.get(key)
         if out is None:
             out = self.fill(key)
-        if len(key) < 256:  # longer runs hardly come again
+        size = len(key) + len(out)
+        if size < 1024:  # longer runs hardly come again
+            self.room -= size + _ENTRY
+            if self.room < 0:
+                self.old, self.room = dict(self), MEMO_BYTES
+                self.clear()
             self[key] = out
-            self.size += len(key) + len(out)
         return out
 
 

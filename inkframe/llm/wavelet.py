@@ -17,7 +17,6 @@ table gives no shards and no rows. Only key and text are read, so other columns
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from array import array
@@ -26,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,11 +62,11 @@ class WaveletShard:
         count = max(1, -(-n // BLOCK))
         ones = np.zeros((levels, count + 1), np.int64)
         for plane, level in enumerate(range(levels - 1, -1, -1)):
-            bits = (ids >> level) & 1 != 0
+            bits = (ids & ids.dtype.type(1 << level)).astype(bool)
             packed = np.zeros(count * BLOCK // 8, np.uint8)
             packed[: -(-n // 8)] = np.packbits(bits, bitorder="little")
-            low = ids[~bits]
-            ids = np.concatenate([low, ids[bits]])
+            low = np.compress(~bits, ids)
+            ids = np.concatenate([low, np.compress(bits, ids)])
             each = packed.reshape(count, -1)
             ones[plane, 1:] = np.cumsum(np.bitwise_count(each).sum(1, dtype=np.int64))
             blocks.append([z.compress(x) for x in each])
@@ -168,16 +168,55 @@ class WaveletShard:
             packed = np.frombuffer(b"".join(map(inflate, plane)), np.uint8)
             bits = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(out)
-            back[~bits] = out[:zeros]
-            back[bits] = out[zeros:] | (1 << shift)
+            back[np.flatnonzero(~bits)] = out[:zeros]
+            back[np.flatnonzero(bits)] = out[zeros:] | (1 << shift)
             out = back
         return out
 
 
-#: The pre-tokenizer's own pattern for lower-cased text without blanks, as far as code points go below U+0240.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ȿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ȿ0-9²³¹¼-¾]+")
-#: Fixed value: a part of that pattern, by which a vocabulary with it is known.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: the split of the vocabulary whose pieces :func:`pieces_of` finds.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANK, _LETTER, _NUMBER, _REST = range(4)
+
+
+def _classes() -> np.ndarray:
+    """Class of each lower-cased code point below U+0180, by lead byte and next byte (for ASCII, any)."""
+    import unicodedata
+
+    out = np.full((256, 256), _REST, np.uint8)
+    for c in range(0x180):
+        kind = unicodedata.category(chr(c))[0]
+        lead, *more = chr(c).encode()
+        out[lead, more or slice(None)] = _BLANK if chr(c).isspace() else {"L": _LETTER, "N": _NUMBER}.get(kind, _REST)
+    return out
+
+
+def pieces_of(buf: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, pieces by text) of lower-cased texts with code points below U+0180 only: the matches of ``PATTERN``."""
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
+    after = np.append(buf[1:], np.uint8(0))
+    kind = classes[buf, after]
+    lead = buf & 0xC0 != 0x80
+    kind = np.where(lead, kind, np.append(np.uint8(0), kind[:-1]))
+    edge = np.zeros(len(buf) + 1, dtype=bool)
+    edge[off] = True
+    first = edge[:-1].copy()
+    first[0] = True
+    first[1:] |= (kind[1:] != kind[:-1]) | (lead & (kind == _NUMBER))[1:]
+    # an apostrophe that begins a match takes the letters of a contraction with it
+    for at in np.flatnonzero(first & (buf == 39)).tolist():
+        word = bytes(buf[at + 1 : at + 3])
+        size = 2 if word[:1] in (b"s", b"t", b"m", b"d") else 3 if word in (b"re", b"ve", b"ll") else 0
+        if size and not edge[at + 1 : at + size].any():
+            first[at + 1 : at + size] = False
+            if at + size < len(buf) and kind[at + size] == _LETTER:
+                first[at + size] = True
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(buf))
+    real = kind[starts] != _BLANK
+    starts, ends = starts[real], ends[real]
+    return starts, ends, np.diff(np.searchsorted(starts, off))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -187,59 +226,77 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-def _encoder(vocabulary: bytes):
-    """(encode plain Latin text, encode any text, levels): ids as little-endian 32-bit integers, by the tokenizers library.
+class Encoder:
+    """Ids of whole texts by the tokenizers library.
 
-    A tokenizer that lower-cases, drops blanks and splits by ``_PATTERN`` encodes what stands between two blanks on its own, so
-    that is remembered within the bound of ``Memo``. With any other tokenizer every text is encoded whole.
+    A tokenizer that lower-cases and splits by ``PATTERN`` encodes each piece on its own; of texts of code points below U+0180
+    every distinct piece of a step is encoded once and remembered within the bound of ``Memo``, and ids are gathered by index.
+    Other texts, and all of them with any other tokenizer, are encoded whole.
     """
-    from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_str(vocabulary.decode())
-    lib.encode_special_tokens = True
-    levels = max(1, (lib.get_vocab_size() - 1).bit_length())
-    whole = lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    about = json.loads(vocabulary)
-    if "Lowercase" not in json.dumps(about.get("normalizer")) or json.dumps(_PATTERN)[1:-1] not in json.dumps(about.get("pre_tokenizer")):
-        return whole, whole, levels
-    letters, tokenize = _byte_letters(), lib.model.tokenize
-
-    def piece(p: str) -> bytes:
-        # printable ASCII stands for itself
-        t = tokenize(p if p.isascii() and p.isprintable() else "".join(map(letters.__getitem__, p.encode())))
-        return array("I", [x.id for x in t]).tobytes()
-
-    pieces = Memo(piece)
-    memo = Memo(lambda w: pieces[w] if w.isalpha() else b"".join(map(pieces.__getitem__, _PIECES.findall(w))))
-    get = memo.__getitem__
-    return lambda t: b"".join(map(get, t.lower().split())), whole, levels
+    def __init__(self, vocabulary: bytes) -> None:
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_str(vocabulary.decode())
+        self.lib.encode_special_tokens = True
+        self.levels = max(1, (self.lib.get_vocab_size() - 1).bit_length())
+        self.kind = np.uint16 if self.levels <= 16 else np.uint32
+        about = json.loads(vocabulary)
+        self.split = "Lowercase" in json.dumps(about.get("normalizer")) and json.dumps(PATTERN)[1:-1] in json.dumps(about.get("pre_tokenizer"))
+        self.classes, letters, tokenize = _classes(), _byte_letters(), self.lib.model.tokenize
+
+        def piece(p: bytes) -> bytes:
+            # printable ASCII stands for itself
+            t = p.decode() if p.isalpha() else "".join(map(letters.__getitem__, p))
+            return array("I", [x.id for x in tokenize(t)]).tobytes()
+
+        self.memo = Memo(piece)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null has none."""
+        buf, off = K.flat(column)
+        # lower-casing stays below U+0180 but for the dotted capital I; some controls are blanks to Python alone
+        odd = (buf >= 0xC6) | ((buf >= 0x1C) & (buf <= 0x1F))
+        odd[:-1] |= (buf[:-1] == 0xC4) & (buf[1:] == 0xB0)
+        odd = (np.diff(np.searchsorted(np.flatnonzero(odd), off)) > 0) if self.split else np.ones(len(column), bool)
+        plain = pc.utf8_lower(pc.if_else(pa.array(odd), "", column.fill_null("").cast(pa.large_string())))
+        low, cut = K.flat(plain)
+        starts, ends, counts = pieces_of(low, cut, self.classes)
+        _, one, same = np.unique(K.span_hash(low, starts, ends), return_index=True, return_inverse=True)
+        data, get = low.tobytes(), self.memo.__getitem__
+        each = [get(data[a:b]) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+        sizes = np.array([len(x) // 4 for x in each], np.int64)
+        ids = np.frombuffer(b"".join(each), "<u4").astype(self.kind)
+        ids = ids[K.ragged((np.cumsum(sizes) - sizes)[same], sizes[same])]
+        bounds = np.concatenate([[0], np.cumsum(sizes[same])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [self.whole(column[i].as_py()) if o and column[i].is_valid else ids[a:b] for i, (o, a, b) in enumerate(zip(odd.tolist(), bounds, bounds[1:]))]
 
 
 def _build(shared, end: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        latin, other, levels = _encoder(shared.value)
-        part, seq, stop = TaskContext.get().partitionId(), 0, struct.pack("<I", end)
-        keys, sizes, ids, total = [], [], [], 0
+        encode = Encoder(shared.value)
+        part, seq, stop = TaskContext.get().partitionId(), 0, np.array([end], encode.kind)
+        keys, ids, total = [], [], 0
 
         def closed() -> pa.RecordBatch:
-            all_ids = np.frombuffer(b"".join(ids), "<u4").astype(np.uint16 if levels <= 16 else np.uint32)
-            data = WaveletShard.build(all_ids, np.array(keys, np.int64), np.array(sizes, np.int64), levels).to_bytes()
+            sizes = np.array([len(x) + 1 for x in ids], np.int64)
+            all_ids = np.concatenate([x for one in ids for x in (one, stop)])
+            data = WaveletShard.build(all_ids, np.array(keys, np.int64), sizes, encode.levels).to_bytes()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_tokens", "file"])
 
-        for batch, buf, off in K.steps(batches, "text", 1 << 20):
-            odd = np.flatnonzero((buf >= 0xC9) | (buf >= 0x1C) & (buf <= 0x1F))
-            odd = np.diff(np.searchsorted(odd, off)) > 0
-            for key, text, strange in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), odd.tolist()):
-                one = ((other if strange or "İ" in text else latin)(text) if text else b"") + stop
+        for batch, _, _ in K.steps(batches, "text", 2 << 20):
+            for key, one in zip(batch.column("key").to_pylist(), encode(batch.column("text"))):
                 keys.append(-(1 << 63) if key is None else key)
-                sizes.append(len(one) // 4)
                 ids.append(one)
-                total += len(one) // 4
+                total += len(one) + 1
                 if total >= shard:
                     yield closed()
-                    keys, sizes, ids, total, seq = [], [], [], 0, seq + 1
+                    keys, ids, total, seq = [], [], 0, seq + 1
         if keys:
             yield closed()
 
@@ -261,8 +318,8 @@ def _read(batches, end: int):
         for part, seq, data in zip(*(batch.column(n).to_pylist() for n in ("part", "seq", "file"))):
             shard = WaveletShard.from_bytes(data)
             ids, ends = shard.decode().astype("<u4"), np.cumsum(shard.sizes)
-            if any(shard.access(i) != end for i in (ends - 1).tolist()):
-                raise ValueError(f"shard {part}, {seq}: a text doesn't end with {end}")
+            if shard.count(end) < len(ends) or len(ends) and shard.access(shard.n - 1) != end:
+                raise ValueError(f"shard {part}, {seq}: texts don't end with {end}")
             crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - shard.sizes).tolist(), ends.tolist())]
             n = len(crc)
             keys = pa.array(shard.keys, mask=shard.keys == -(1 << 63))
@@ -270,7 +327,7 @@ def _read(batches, end: int):
 
 
 def read_documents(shards: DataFrame, key: str = "doc_id", end: int = 2) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of every text, from the files; each text's last id is looked up in the bit planes."""
+    """(key, start, n_tokens, ids_crc32) of every text, from the files; end ids are counted in the bit planes."""
     # one number per shard; totals run within a part, and then over the parts
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = shards.select("part", "seq", "n_tokens")
