@@ -2,23 +2,27 @@
 
 Rows of the matrix are distinct shingle sets (equal sets are one class), columns are 64-bit shingle hashes. Each row's
 columns are put in one order for all, hot columns last. Two sets with Jaccard similarity t or more share a column
-among the first n - ceil(t n) + 1 of each, so only that block of columns is multiplied to find pairs; sizes and
-positions bound the overlap a pair can still reach and discard it early. Overlaps of the pairs that are left are
-accumulated exactly, block by block of the hash range, until they are reached or out of reach.
-
-:func:`join` multiplies every shared column out, one of many rows in blocks of ``BLOCK`` by ``BLOCK`` rows, and checks every
-candidate pair of classes, so each link is found; a group of n copies takes n * n / 2 pairs. :func:`groups` finds the same
-components without the links. In it a column shared by many rows isn't multiplied out. Its leader, the row with the fewest colder columns of its own, meets
-every other: an edit of a copy makes columns that only it has, so this row is the copy edited least, and linked with the
-most. Rows that are linked by then need no further look, as only components are asked for. Columns whose rows lie in several components get
-further leaders while the rest would be more than ``PAIRS`` pairs per row, ``ROUNDS`` times at most, and then all
-pairs across components.
+among the first n - ceil(t n) + 1 of each, so only that block of columns is looked at to find candidates; sizes and
+positions bound the overlap a pair can still reach and discard it early.
+
+First the components. A column shared by many rows isn't multiplied out. Its leader, the row with the fewest colder columns
+of its own, meets every other: an edit of a copy makes columns that only it has, so this row is the copy edited least, and
+linked with the most. Overlaps of these pairs are accumulated exactly, block by block of the hash range, until they are
+reached or out of reach. Columns whose rows lie in several components get further leaders while the rest would be more
+than ``PAIRS`` pairs per row, ``ROUNDS`` times at most; then all pairs of rows across components are looked at, a column of
+many rows in blocks of ``BLOCK`` by ``BLOCK`` rows. :func:`groups` ends here.
+
+All links lie within components, so :func:`join` then multiplies each component by itself: its rows are dealt to blocks of
+about ``BLOCK``, each pair of blocks is a task's work, and the product of their rows is accumulated over blocks of
+``COLUMNS`` shared columns. Every two classes of a component are compared, but a task returns the number of links of each
+row, not the pairs; :func:`links` lists them.
 
 Which columns are hot comes from the counts of all columns in a table of 2**20 slots. It only orders the columns: any
 order gives the same result.
 
 A text without words, or null, has an empty set and is linked with nothing, itself its component. Equal rows are one
-class. The component id is the smallest key in the component (null only if all are). Other columns aren't read.
+class. Keys may be null or repeat; the component id is the smallest key in the component (null only if all are). An empty
+table gives no rows. Other columns aren't read, so none can clash. Long texts are a step of their own.
 """
 
 from __future__ import annotations
@@ -40,10 +44,10 @@ PAIRS = 4
 #: Rounds of leaders, after which all pairs across components are looked at in any case.
 ROUNDS = 3
 _BLOCKS = 8
-#: Rows of a column, and sets of a verified block, that one task takes on either side.
-BLOCK = 256
-#: Shingles looked up in one step of the verification.
-_LOOKUPS = 1 << 21
+#: Rows of a column, and sets of a block of a component, that one task takes on either side.
+BLOCK = 512
+#: Columns of one step of a product.
+COLUMNS = 4096
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -136,24 +140,48 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([z.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["key", "z"])
 
 
-def _unpack(z: bytes) -> np.ndarray:
+def _unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes) of the sets of packed texts."""
     import zstandard
 
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
-    return sets_of(data, np.array([0, len(data)]))[0]
+    z = zstandard.ZstdDecompressor()
+    texts = [z.decompress(x) for x in packed]
+    return sets_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+
+def _parts(packed: list[bytes]) -> list[np.ndarray]:
+    h, n = _unpack(packed)
+    return np.split(h, np.cumsum(n)[:-1])
+
+
+#: Packed bytes that are opened together.
+_OPENED = 256 << 10
+
+
+def _slices(sizes: list[int]):
+    """Ranges of consecutive rows of about ``_OPENED`` bytes."""
+    total, at = 0, 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= _OPENED or i + 1 == len(sizes):
+            yield at, i + 1
+            total, at = 0, i + 1
 
 
 def _verify(percent: int):
+    """Pairs with whether they are linked; rows come sorted by a."""
+
     def run(batches):
-        last, mine = None, None
         for batch in batches:
-            a, b, za, zb = (batch.column(n) for n in ("a", "b", "za", "zb"))
+            a, b, za, zb = (batch.column(n).to_pylist() for n in ("a", "b", "za", "zb"))
             linked = []
-            for i in range(batch.num_rows):
-                if a[i].as_py() != last:
-                    last, mine = a[i].as_py(), _unpack(za[i].as_py())
-                linked.append(overlap_reaches(mine, _unpack(zb[i].as_py()), percent))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            for i, j in _slices([len(x) for x in zb]):
+                names = list(dict.fromkeys(a[i:j]))
+                first = [a.index(x, i) for x in names]
+                sets = _parts([za[f] for f in first] + zb[i:j])
+                mine = dict(zip(names, sets))
+                linked += [overlap_reaches(mine[x], y, percent) for x, y in zip(a[i:j], sets[len(names) :])]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
@@ -161,11 +189,12 @@ def _verify(percent: int):
 def _same_set(batches):
     """Rows of texts whose set has the wanted signature."""
     for batch in batches:
+        z, wanted = batch.column("z").to_pylist(), list(zip(*(batch.column(c).to_pylist() for c in ("n", "one", "two"))))
         keep = []
-        for z, n, one, two in zip(*(batch.column(c).to_pylist() for c in ("z", "n", "one", "two"))):
-            h = _unpack(z)
-            mine = [int(K.mix(h * np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (3, 0x9E3779B97F4A7C15)]
-            keep.append((len(h), *mine) == (n, one, two))
+        for i, j in _slices([len(x) for x in z]):
+            for h, want in zip(_parts(z[i:j]), wanted[i:j]):
+                mine = [int(K.mix(h * np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (3, 0x9E3779B97F4A7C15)]
+                keep.append((len(h), *mine) == want)
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("z")], names=["row", "z"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -186,7 +215,7 @@ def _matrix(docs: DataFrame, key: str, text: str, percent: int) -> tuple[Scratch
     cells = reps.select("row", "n", F.posexplode("f.prefix").alias("pos", "gram"))
     shared = cells.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     cells = s.store(cells.join(shared, "gram"), "cells")
-    classes = table.where("n > 0").groupBy(*by).agg(F.min("row").alias("row"), F.min_by("key", "row").alias("rep"), F.min("key").alias("least"), F.count("*").alias("size"), F.min_by(F.element_at("prefix", -1), "row").alias("home"))
+    classes = table.where("n > 0").groupBy(*by).agg(F.min("row").alias("row"), F.min_by("key", "row").alias("rep"), F.min("key").alias("least"), F.count("*").alias("size"))
     return s, docs, table, cells, s.store(classes, "classes")
 
 
@@ -205,90 +234,113 @@ def _members(key: str, table: DataFrame, classes: DataFrame, comp: DataFrame | N
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """(key, n_shingles, class_id, component_id, n_links) of every text; class_id numbers equal sets, n_links counts the other texts it is linked with."""
-    return links(docs, key, text, percent)[0]
+    s, docs, table, cells, classes = _matrix(docs, key, text, percent)
+    comp = _components(docs, cells, classes, percent, s)
+    if comp is None:
+        return _members(key, table, classes.withColumn("n_links", F.col("size") - 1), comp, "n_links")
+    pair, blocks = _dealt(comp, docs, classes, s)
+    met = blocks.mapInArrow(_product(percent, False), "row long, met long")
+    met = met.union(pair.select(F.explode(F.array(F.struct(F.col("a").alias("row"), F.col("nb").alias("met")), F.struct(F.col("b").alias("row"), F.col("na").alias("met")))).alias("m")).select("m.*"))
+    counted = classes.join(s.store(met.groupBy("row").agg(F.sum("met").alias("met")), "met"), "row", "left")
+    return _members(key, table, counted.withColumn("n_links", F.col("size") - 1 + F.coalesce("met", F.lit(0))), comp, "n_links")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(what :func:`join` returns, all linked pairs (a, b) of class_ids with a < b)."""
+    """((key, n_shingles, class_id, component_id) of every text, all linked pairs (a, b) of class_ids with a < b)."""
     s, docs, table, cells, classes = _matrix(docs, key, text, percent)
-    # every pair of a column's blocks is a key of its own
-    k = F.ceil(F.col("m") / BLOCK)
-    own, every = F.pmod(F.xxhash64("row"), k), F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
-    x = cells.select("gram", own.alias("i"), every.alias("j"), F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = cells.select("gram", every.alias("i"), own.alias("j"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    pairs = x.join(y, ["gram", "i", "j"]).where("a < b").where(_possible(percent))
-    pairs = s.store(pairs.select("a", "b").distinct(), "pairs")
-    linked = s.store(_linked(pairs, classes, docs, percent, s), "links")
-    comp = s.store(components(linked, s), "comp")
-    ends = linked.select(F.col("a").alias("row"), F.col("b").alias("other")).union(linked.select("b", "a"))
-    met = ends.join(classes.select(F.col("row").alias("other"), "size"), "other").groupBy("row").agg(F.sum("size").alias("met"))
-    counted = classes.join(met, "row", "left").withColumn("n_links", F.col("size") - 1 + F.coalesce("met", F.lit(0)))
-    return _members(key, table, counted, comp, "n_links"), linked
+    comp = _components(docs, cells, classes, percent, s)
+    if comp is None:
+        return _members(key, table, classes, comp), docs.sparkSession.createDataFrame([], "a long, b long")
+    pair, blocks = _dealt(comp, docs, classes, s)
+    return _members(key, table, classes, comp), blocks.mapInArrow(_product(percent, True), "a long, b long").union(pair.select("a", "b"))
 
 
-def _possible(percent: int) -> Column:
-    """Whether sizes na, nb and places pa, pb of a shared column leave the similarity within reach."""
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    bound = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bound >= need)
-
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
+    """(key, n_shingles, class_id, component_id) of every text: the components of :func:`join`, not the links."""
+    s, docs, table, cells, classes = _matrix(docs, key, text, percent)
+    return _members(key, table, classes, _components(docs, cells, classes, percent, s))
+
+
+def _dealt(comp: DataFrame, docs: DataFrame, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b, na, nb) of components of two classes, with how many texts each has; rows of the larger ones, dealt and sorted by pairs of blocks)."""
+    rows = s.store(comp.withColumnRenamed("v", "row").join(classes.select("row", "size"), "row"), "sized")
+    per = rows.groupBy("comp").agg(F.count("*").alias("count"), F.min(F.struct("row", "size")).alias("x"), F.max(F.struct("row", "size")).alias("y"))
+    pair = per.where("count = 2").select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb"))
+    many = rows.join(per.where("count > 2").select("comp", F.ceil(F.col("count") / BLOCK).alias("k")), "comp")
+    texts = _texts(many.select("row"), classes, docs, s, "texts")
+    own, other = F.pmod(F.xxhash64("row"), "k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    cells = many.join(texts, "row").select("comp", own.alias("own"), other.alias("other"), "row", "size", "z")
+    cells = cells.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "size", "z")
+    return pair, cells.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+
+
+def products(sets: np.ndarray, own: np.ndarray, others: np.ndarray, theirs: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Overlaps of rows: ``sets`` are the columns of the rows ``own`` of one block, ``others`` those of ``theirs`` of another; no row has a column twice."""
+    out = np.zeros(shape, np.float32)
+    shared = np.intersect1d(sets, others)
+    for at in range(0, len(shared), COLUMNS):
+        block = shared[at : at + COLUMNS]
+        sides = []
+        for columns, row, n in ((sets, own, shape[0]), (others, theirs, shape[1])):
+            place = np.minimum(np.searchsorted(block, columns), len(block) - 1)
+            hit = block[place] == columns
+            side = np.zeros((n, len(block)), np.float32)
+            side[row[hit], place[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _product(percent: int, pairs: bool):
+    """Links of the rows of each pair of blocks: (a, b), or how many texts each row is linked with."""
+
+    def multiplied(key, held):
+        _, i, j = key
+        own, row, size = (np.array(x, np.int64) for x in zip(*((h[0], h[1], h[2]) for h in held)))
+        h, n = _unpack([x[3] for x in held])
+        of = np.repeat(np.arange(len(n)), n)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        place = np.full(len(n), -1)
+        place[right] = np.arange(len(right))
+        mine, other = own[of] == i, own[of] == j
+        index = np.full(len(n), -1)
+        index[left] = np.arange(len(left))
+        have = products(h[mine], index[of[mine]], h[other], place[of[other]], (len(left), len(right)))
+        near = 100 * have >= percent * (n[left][:, None] + n[right][None, :] - have)
+        if i == j:
+            np.fill_diagonal(near, False)
+        if pairs:
+            x, y = np.nonzero(near)
+            a, b = row[left[x]], row[right[y]]
+            keep = a < b if i == j else np.ones(len(a), bool)
+            return [np.minimum(a, b)[keep], np.maximum(a, b)[keep]]
+        met = [(row[left], near @ size[right])] + ([] if i == j else [(row[right], near.T @ size[left])])
+        return [np.concatenate(x) for x in zip(*met)]
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, s: Scratch) -> DataFrame:
-    """The pairs (a, b) that reach the similarity. Similar sets are put in blocks, and each pair of blocks gets its sets once."""
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = _texts(ends, classes, docs, s, "texts").join(classes.select("row", "home"), "row")
-    k = F.ceil(F.col("count") / BLOCK)
-    texts = s.store(texts.join(texts.groupBy("home").count(), "home").select("row", "z", F.xxhash64("home", F.pmod(F.xxhash64("row"), k)).alias("block")), "blocks")
-    of = lambda v: texts.select(F.col("row").alias(v), F.col("block").alias(f"of_{v}"))
-    placed = s.store(pairs.join(of("a"), "a").join(of("b"), "b").select("of_a", "of_b", "a", "b"), "placed")
-    sets = placed.select("of_a", "of_b", F.col("a").alias("row")).union(placed.select("of_a", "of_b", "b")).distinct().join(texts.select("row", "z"), "row")
-    both = sets.select("of_a", "of_b", F.lit(0).alias("kind"), F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "z")
-    both = both.union(placed.select("of_a", "of_b", F.lit(1), "a", "b", F.lit(None).cast("binary")))
-    return both.repartition("of_a", "of_b").sortWithinPartitions("of_a", "of_b", "kind", "a").mapInArrow(_overlaps(percent), "a long, b long")
-
-
-def overlaps(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Exact size of the overlap of an ascending set with each of the others."""
-    every = np.concatenate(others)
-    hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
-    sizes = np.array([len(x) for x in others])
-    return np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-
-
-def _overlaps(percent: int):
     def run(batches):
-        block, sets = None, {}
+        last, held, names = None, [], ["a", "b"] if pairs else ["row", "met"]
         for batch in batches:
-            of_a, of_b, kind, a, b = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("of_a", "of_b", "kind", "a", "b"))
-            z = batch.column("z")
-            new = np.flatnonzero(np.append(True, (of_a[1:] != of_a[:-1]) | (of_b[1:] != of_b[:-1]) | (kind[1:] != kind[:-1]) | ((kind[1:] == 1) & (a[1:] != a[:-1]))))
-            left, right = [], []
-            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(a)]):
-                if (of_a[i], of_b[i]) != block:
-                    block, sets = (of_a[i], of_b[i]), {}
-                if kind[i] == 0:
-                    sets |= {int(a[r]): _unpack(z[r].as_py()) for r in range(i, j)}
-                    continue
-                mine, held, size = sets[int(a[i])], [], 0
-                for r in range(i, j):
-                    held.append(int(b[r]))
-                    size += len(sets[held[-1]])
-                    if size > _LOOKUPS or r == j - 1:
-                        sizes = np.array([len(sets[x]) for x in held])
-                        have = overlaps(mine, [sets[x] for x in held])
-                        some = np.array(held)[100 * have >= percent * (len(mine) + sizes - have)]
-                        left.append(np.full(len(some), a[i], np.int64))
-                        right.append(some)
-                        held, size = [], 0
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+            for comp, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "own", "row", "size", "z"))):
+                if (comp, i, j) != last:
+                    if held:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, multiplied(last, held))], names=names)
+                    last, held = (comp, i, j), []
+                held.append(rest)
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, multiplied(last, held))], names=names)
 
     return run
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
-    """(key, n_shingles, class_id, component_id) of every text: the components of :func:`join`, not the links."""
-    s, docs, table, cells, classes = _matrix(docs, key, text, percent)
+def _possible(percent: int) -> Column:
+    """Whether sizes na, nb and places pa, pb of a shared column leave the similarity within reach."""
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    bound = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bound >= need)
+
+
+def _components(docs: DataFrame, cells: DataFrame, classes: DataFrame, percent: int, s: Scratch) -> DataFrame | None:
+    """(v, comp) of the classes that are linked with others; None where there are no links."""
     cells = cells.drop("m")
     done = None
     comp = None
@@ -307,11 +359,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             break
         size = size or cells.select("row").distinct().count()
         last = i >= ROUNDS or total[0] <= max(PAIRS * size, 1000)
-        x = now.select("gram", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-        y = now.select("gram", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "lead")
-        if not last:
+        x = now.select("gram", "m", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+        y = now.select("gram", "m", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "lead")
+        if last:
+            # every pair of a column's blocks is a key of its own
+            k = F.ceil(F.col("m") / BLOCK)
+            every = F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+            x = x.withColumn("i", F.pmod(F.xxhash64("a"), k)).withColumn("j", every)
+            y = y.withColumn("j", F.pmod(F.xxhash64("b"), k)).withColumn("i", every)
+            pairs = x.join(y, ["gram", "i", "j"]).where("ca != cb AND a < b")
+        else:
             x = x.join(now.select("gram", F.col("lead").alias("a")).distinct(), ["gram", "a"])
-        pairs = x.join(y if last else y.where("b != lead"), "gram").where("ca != cb" + (" AND a < b" if last else ""))
+            pairs = x.join(y.where("b != lead"), "gram").where("ca != cb")
         pairs = pairs.where(_possible(percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
@@ -327,7 +386,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         rest = now.where("row != lead").select("gram", "row", "n", "pos")
         i += 1
 
-    return _members(key, table, classes, comp)
+    return comp
 
 
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, s: Scratch, i: int) -> DataFrame:

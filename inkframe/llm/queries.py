@@ -47,7 +47,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
-reach(v, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT edge.b, reach.r FROM reach JOIN edge ON edge.a = reach.v WHERE reach.r < edge.b)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r) AS component_id
-FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.v = d.doc_id GROUP BY ALL""",
+reach(v, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT edge.b, reach.r FROM reach JOIN edge ON edge.a = reach.v WHERE reach.r < edge.b),
+degree AS (SELECT a AS doc_id, count(*) AS n_links FROM edge GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r) AS component_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN degree USING (doc_id) JOIN reach ON reach.v = d.doc_id GROUP BY ALL""",
 }

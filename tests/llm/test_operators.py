@@ -352,10 +352,11 @@ def test_jaccard_links(docs, rows, monkeypatch):
         w = SPACED.findall(lower(r.text))
         sets[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
     near = lambda a, b: len(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    monkeypatch.setattr(jaccard, "COLUMNS", 50)
     members, pairs = jaccard.links(docs)
-    got = {r.doc_id: r for r in members.collect()}
+    got = {r.doc_id: r for r in jaccard.join(docs).collect()}
     assert {k: r.n_links for k, r in got.items()} == {k: sum(1 for m, b in sets.items() if m != k and near(a, b)) for k, a in sets.items()}
-    of = {r.class_id: sets[k] for k, r in got.items() if sets[k]}
+    of = {r.class_id: sets[r.doc_id] for r in members.collect() if sets[r.doc_id]}
     want = [(a, b) for a in of for b in of if a < b and near(of[a], of[b])]
     assert sorted(map(tuple, pairs.collect())) == sorted(want) and len(want) > 40
 
