@@ -6,11 +6,13 @@ A phrase is looked up from its rarest term in the segment: that term's positions
 intersected with the lists of the other terms, rarest first, each less its own offset. :func:`near` finds places where
 terms stand within some distance instead.
 
-Only terms of the test items are stored while those are at most ``VOCABULARY``; more are indexed whole. Items are
-looked up in blocks of ``BLOCK_ITEMS``, a proven bound of what is sent to the executors at once.
+Every term of every text is stored, whatever the items are, so one index serves any of them. Items are looked up in
+blocks of ``BLOCK_ITEMS``, a proven bound of what is sent to the executors at once.
 
 Null and empty texts have no words and are never contaminated; items without words have no window. Equal rows are
-judged each for itself. An item id that is null counts as the empty string. Columns named like a result give way.
+judged each for itself, also where keys are equal or null. An item id that is null counts as the empty string; several
+items may share a window, and each is found. A very long text is a segment of its own. An empty table of texts gives no
+rows, an empty table of items no hits. Only key and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ WINDOW = 8
 #: Word positions left free between two texts of a segment.
 GAP = 64
 SEGMENT_BYTES = 1 << 20
-VOCABULARY = 1_000_000
 #: Items and bytes of their texts that are looked up together.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 
@@ -112,20 +113,14 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int = WINDOW) -> tuple
     return padded[first[:, None] + np.arange(size)], np.minimum(total[first], size), np.repeat(np.arange(len(counts)), counts)[first]
 
 
-def build_index(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
+def build_index(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(segment, terms, first, places, keys, counts): one stored row per segment, with a number of its own; counts are the texts' words."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    shared = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(np.unique(vocabulary))
 
     def run(batches):
         for batch, buf, off in K.steps(batches, "text", SEGMENT_BYTES):
             hashes, counts = words(buf, off)
             places = np.arange(len(hashes)) + np.repeat(np.arange(len(counts)) * GAP, counts)
-            if shared is not None:
-                known = shared.value
-                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                keep = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                hashes, places = hashes[keep], places[keep]
             s = Segment.build(hashes, places)
             binary = [pa.array([x.tobytes()], pa.binary()) for x in (s.terms, s.first.astype("<u4"), s.places.astype("<u4"))]
             keys = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("key"))
@@ -181,10 +176,7 @@ def _lookup(shared, kind, several: bool):
 
 
 def near(index: DataFrame, text: str, slop: int, key: str = "doc_id") -> DataFrame:
-    """(key, n_near, at) of every text of a stored index: the word positions of the text's rarest term in the segment that have all other words of ``text`` at most ``slop`` words away.
-
-    An index with a vocabulary knows its words only: a word that it lacks is in no text.
-    """
+    """(key, n_near, at) of every text of a stored index: the word positions of the text's rarest term in the segment that have all other words of ``text`` at most ``slop`` words away."""
     if not 0 <= slop < GAP:
         raise ValueError(f"slop {slop}; texts stand {GAP} places apart")
     terms = np.unique(words(*K.flat(pa.array([text], pa.string())))[0])
@@ -240,14 +232,13 @@ def _block(held: list):
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", least: int = 2, block_items: int = BLOCK_ITEMS, scratch: Scratch | None = None) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated, items, begins, ends) of every text; begins and ends are the hit windows' word spans."""
     spark = docs.sparkSession
-    blocks = list(_blocks(items, item_key, text, block_items))
-    vocabulary = np.unique(np.concatenate([b[0].ravel() for b in blocks])) if blocks else np.zeros(0, np.uint64)
-    index = build_index(docs, scratch or Scratch(spark, "index"), key, text, vocabulary if len(vocabulary) <= VOCABULARY else None)
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, item_key, text, block_items)]
+    index = build_index(docs, scratch or Scratch(spark, "index"), key, text)
     kind = docs.schema[key].dataType.simpleString()
     several = len(blocks) > 1
     fields = f"key {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, begins array<long>, ends array<long>"
     none = (np.zeros((0, WINDOW), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-    parts = [index.mapInArrow(_lookup(spark.sparkContext.broadcast(b), kind, several), ("segment long, at long, " if several else "") + fields) for b in blocks or [none]]
+    parts = [index.mapInArrow(_lookup(b, kind, several), ("segment long, at long, " if several else "") + fields) for b in blocks or [spark.sparkContext.broadcast(none)]]
     out = parts[0]
     if several:
         for p in parts[1:]:
