@@ -70,7 +70,37 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_wavelet_tokens, op3_qua
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _license_templates() -> str:
+    """The templates' grams as SQL rows."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return ", ".join(f"({quoted(gram)}, {n}, {at}, {grams}, {size}, '{label}', {base})" for gram, n, at, grams, size, label, base in licenses.template_rows())
+
+
 ORACLES = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, md5(b[i : i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+step AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM twice),
+run AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM step) GROUP BY doc_id, k),
+gap AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS s, s - 1 AS e FROM run UNION ALL SELECT d.doc_id, coalesce(max(run.e), 1), octet_length(any_value(b)) FROM d LEFT JOIN run USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN e >= s THEN hex(b[s : e]) ELSE '' END, '' ORDER BY s, e))) AS kept_sha256 FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id) USING (doc_id) JOIN kept USING (doc_id)""",
+    "op5_license_scan": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t(gram, template, place, grams, size, label, base) AS (VALUES {_license_templates()}),
+g AS (SELECT doc_id, i - 1 AS pos, w[i : i + k - 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT unnest([2, 4]) AS k) WHERE i + k - 1 <= len(w)),
+hit AS (SELECT doc_id, template, grams, size, label, base, pos - place AS diagonal, count(*) AS votes, min(place) AS a, max(place) AS z FROM g JOIN t USING (gram) GROUP BY ALL),
+jump AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= 3 AND a > lag(z) OVER o THEN 0 ELSE 1 END AS new FROM hit WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal + a, a)),
+merged AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal + a, a ROWS UNBOUNDED PRECEDING) AS k FROM jump),
+span AS (SELECT doc_id, label, base, grams, sum(votes) AS votes, max(diagonal + z + 1 + size - grams) - min(diagonal + a) AS length, size,
+  count(*) FILTER (votes = grams) AS whole, min(diagonal) FILTER (votes = grams) AS first_at, max(diagonal) FILTER (votes = grams) AS last_at FROM merged GROUP BY doc_id, template, label, base, grams, size, k),
+judged AS (SELECT *, CASE WHEN base THEN whole > 0 ELSE 100 * votes >= 85 * grams AND 100 * length <= 150 * size END AS ok FROM span)
+SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(sum(whole) FILTER (base), 0) AS BIGINT) AS n_base, min(first_at) FILTER (base) AS first_word, max(last_at) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole > 0), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok), '') AS labels,
+  coalesce(max(least(1.0, CAST(votes AS DOUBLE) / grams)) FILTER (ok), 0.0) AS score
+FROM d LEFT JOIN judged USING (doc_id) GROUP BY d.doc_id, len(w)""",
     "op4_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
