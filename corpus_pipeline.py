@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the columns of
 documents, the last one digests of the tokens. ``run`` writes each stage's rows to the shared folder and reads them again.
 
-A stage that changes the text sets n_chars anew. An empty table stays empty; null texts fail the first stage.
+A stage that changes the text sets n_chars anew. An empty table stays empty; null texts fail the first stage and are near
+copies of nothing in the second. Rows are told apart by numbers of their own where a stage joins its verdict to them, so null
+or repeated ids neither lose rows nor share a verdict; of equal rows one stays. Of columns other than those of documents none
+is read or returned, so none can clash. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.llm import bpe, decontaminate, jaccard, quality, queries, suffix_dedup
-from inkframe.llm.common import Scratch, table
+from inkframe.llm.common import Scratch, numbered, table
 from inkframe.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +32,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
     ship(spark)
-    first = jaccard.groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    rows = numbered(docs.select(*COLUMNS), Scratch(spark, "rows"))
+    found = jaccard.groups(rows, "_row").join(rows.select("_row", "doc_id"), "_row")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("f")).select("f._row")
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +48,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with windows of two benchmark items or more."""
     ship(spark)
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    rows = numbered(docs.select(*COLUMNS), Scratch(spark, "rows"))
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), "_row")
+    return rows.join(found.where("contaminated").select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("benchmark passages", benchmark_passages), ("tokens", tokens)]
 
-#: SQL expresses neither the likelihood ratios nor the merges of the tokenizer; a test compares run() with brute force.
+#: SQL expresses neither the likelihood ratios nor the merges of the tokenizer; a test compares each stage with brute force.
 ORACLE_SQL = None
 
 
