@@ -24,8 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written once to the shared folder and read back: each cuts the lineage, so a lost executor costs no more than the tasks it held."""
 
+    #: All that were made, for those who know when the results read from them have been written.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", {}
+        Scratch.made.append(self)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"

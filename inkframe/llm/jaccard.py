@@ -345,7 +345,7 @@ def _components(docs: DataFrame, cells: DataFrame, classes: DataFrame, percent:
     done = None
     comp = None
     rest = cells
-    size, i = None, 0
+    size, i = cells.select("row").distinct().count(), 0
     while True:
         if comp is None:
             now = rest.withColumn("comp", F.col("row"))
@@ -354,10 +354,10 @@ def _components(docs: DataFrame, cells: DataFrame, classes: DataFrame, percent:
         # columns whose rows aren't all in one component, and what multiplying them out would take
         per = now.groupBy("gram", "comp").agg(F.count("*").alias("k"), F.min(F.struct("pos", "row")).alias("lead")).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.min("lead")["row"].alias("lead"), F.count("*").alias("comps")).where("comps > 1")
         now = s.store(now.join(per.select("gram", "lead", "m", "kk"), "gram"), f"open{i}")
+        s.drop("cells" if not i else f"open{i - 1}")
         total = now.select("gram", "m", "kk").distinct().agg(F.sum((F.col("m") * F.col("m") - F.col("kk")) / 2), F.sum("m")).first()
         if not total[1]:
             break
-        size = size or cells.select("row").distinct().count()
         last = i >= ROUNDS or total[0] <= max(PAIRS * size, 1000)
         x = now.select("gram", "m", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
         y = now.select("gram", "m", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "lead")
@@ -377,15 +377,21 @@ def _components(docs: DataFrame, cells: DataFrame, classes: DataFrame, percent:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = s.store(pairs, f"pairs{i}")
         checked = s.store(_checked(pairs, classes, docs, percent, s, i), f"checked{i}")
+        s.drop(f"pairs{i}", f"texts{i}")
         done = checked if done is None else done.union(checked)
         # without new links the components stay as they are
-        if not checked.where("linked").isEmpty():
-            comp = s.store(components(done.where("linked").select("a", "b"), s, f"cc{i}_"), f"comp{i}")
+        found = checked.where("linked").select("a", "b")
+        if not found.isEmpty():
+            stars = found if comp is None else found.union(comp.select(F.col("v").alias("a"), F.col("comp").alias("b")))
+            old = [n for n in s.paths if n.startswith("comp")]
+            comp = s.store(components(stars, s, f"cc{i}_"), f"comp{i}")
+            s.drop(*old, *(n for n in list(s.paths) if n.startswith("cc")))
         if last:
             break
         rest = now.where("row != lead").select("gram", "row", "n", "pos")
         i += 1
 
+    s.drop(*(f"{n}{k}" for n in ("open", "checked") for k in range(i + 1)))
     return comp
 
 

@@ -225,6 +225,7 @@ def repeated_spans(packed: DataFrame, s: Scratch) -> DataFrame:
     # partial groups have a key of their own, so that they don't meet in one task
     groups = groups.withColumn("whole", F.coalesce("whole", F.xxhash64("id", "j")))
     groups = s.store(groups.join(twice, "whole", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "groups2")
+    s.drop("groups")
     whole = groups.where("one AND hit").select("row", "begin", "end")
     cores = groups.groupBy("core").agg(F.count("*").alias("m"), F.max(F.col("one") & ~F.col("hit")).alias("open")).where("m > 1 AND open").select("core")
     todo = groups.join(cores, "core").groupBy("id").agg(F.collect_list(F.struct("j", (F.col("one") & ~F.col("hit")).alias("open"))).alias("todo"))
@@ -244,7 +245,8 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFr
     rest = [c for c in plain.columns if c != own]
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in plain.schema.fields if f.name != own)
     packed = s.store(plain.mapInArrow(_pack(own), f"{fields}_z binary").withColumn("_row", F.monotonically_increasing_id()), "packed")
-    spans = repeated_spans(packed, s).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    spans = s.store(repeated_spans(packed, s).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("_spans")), "spans")
+    s.drop("runs", "classes", "contexts", "groups2", "windows")
     both = packed.join(spans.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
     kinds = fields + ", ".join(f"{k} {v}" for k, v in RESULTS.items())
     out = both.mapInArrow(_cut(rest, with_text), kinds + (", _kept string" if with_text else ""))

@@ -435,9 +435,9 @@ def test_pipeline(spark):
     import corpus_pipeline as C
 
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    now = d
+    now, stored = d, common.Scratch(spark, "stages")
     for name, stage in C.STAGES[:-1]:
-        now = stage(spark, now, SF).cache()
+        now = stored.store(stage(spark, now, SF), name)
         assert now.columns == C.COLUMNS, name
     lib = _library()
     kept = {r.doc_id: r.text for r in now.collect()}
