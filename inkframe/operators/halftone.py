@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkframe.operators import coding
+
 
 def gray_cells(embeddings: DataFrame) -> DataFrame:
     """(vec_id, y, x, value): embeddings clipped to [-4, 4] as whole gray values 0..255."""
@@ -52,23 +56,98 @@ def patterns(spark: SparkSession, m: int = 4, levels: int = 16) -> DataFrame:
     return spark.createDataFrame(rows, "i long, y long, x long, black long")
 
 
-def error_diffusion(blocks: DataFrame, m: int = 4, levels: int = 16) -> DataFrame:
-    """Quantised with the error handed on to later cells in row order (weights 8, 4, 2 of 42 by distance); a kernel per grid."""
-    import pandas as pd
+#: The neighbours that get a cell's error, (dy, dx, weight of 42).
+SPREAD = [(0, 1, 8), (0, 2, 4), (1, -2, 2), (1, -1, 4), (1, 0, 8), (1, 1, 4), (1, 2, 2), (2, -2, 1), (2, -1, 2), (2, 0, 4), (2, 1, 2), (2, 2, 1)]
+
+
+def diffuse(value: np.ndarray, levels: int, sharpen: float) -> np.ndarray:
+    """Whole levels of n grids of one size, cell by cell in row order for all of them at once.
+
+    A cell is sharpened by ``sharpen`` times the error of the cell before it, rounded half up within the levels, and hands its error on.
+    """
+    value, (n, h, w) = value.copy(), value.shape
+    out, error = np.zeros(value.shape, np.int64), np.zeros(n)
+    for y in range(h):
+        for x in range(w):
+            own = value[:, y, x] - sharpen * error
+            out[:, y, x] = q = np.clip(np.floor(own + 0.5), 0, levels - 1)
+            error = own - q
+            for dy, dx, weight in SPREAD:
+                if y + dy < h and 0 <= x + dx < w:
+                    value[:, y + dy, x + dx] += error * weight / 42
+    return out
+
+
+def error_diffusion(blocks: DataFrame, m: int = 4, levels: int = 16, sharpen: float = 0.5) -> DataFrame:
+    """(vec_id, gy, gx, gray): block sums quantised with error diffusion; grids of one size in a batch go together."""
+    cells = F.array_sort(F.collect_list(F.struct("gy", "gx", "total")))
+    grids = blocks.groupBy("vec_id").agg(cells.alias("cells"))
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column("cells")
+            size = np.diff(held.offsets.to_numpy())
+            gy, gx, total = (held.flatten().field(i).to_numpy() for i in range(3))
+            owner, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            wide = np.maximum.reduceat(gx, start) + 1 if len(size) else size
+            gray = np.zeros(len(total), np.int64)
+            for shape in np.unique(np.stack([size, wide], 1), axis=0):
+                mine = np.flatnonzero((size == shape[0]) & (wide == shape[1]))
+                at = (start[mine][:, None] + np.arange(shape[0])).ravel()
+                value = total[at] * (levels - 1) / (255 * m * m)
+                gray[at] = diffuse(value.reshape(len(mine), -1, shape[1]), levels, sharpen).ravel()
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(owner)), pa.array(gy), pa.array(gx), pa.array(gray)], names=["vec_id", "gy", "gx", "gray"])
+
+    return grids.mapInArrow(run, "vec_id long, gy long, gx long, gray long")
+
+
+def depth(gray: DataFrame) -> DataFrame:
+    """(vec_id, top, bits): the greatest value of each grid and the bits that it takes, one at least."""
+    g = gray.groupBy("vec_id").agg(F.max("gray").alias("top"))
+    return g.withColumn("bits", F.length(F.bin(F.greatest("top", F.lit(1)))).cast("long"))
+
+
+def strip(patterns_: DataFrame, m: int = 4) -> DataFrame:
+    """(y, x, black): all patterns side by side."""
+    return patterns_.select("y", (F.col("x") + F.col("i") * m).alias("x"), "black")
+
+
+def smoothed(cells: DataFrame, side: int = 8) -> DataFrame:
+    """The cells after :func:`prefilter`, as sixteenths rounded down to whole values."""
+    return prefilter(cells, side).select("vec_id", "y", "x", F.floor(F.col("sum16") / 16).cast("long").alias("value"))
+
+
+def encode(cells: DataFrame, m: int = 4, levels: int = 16, sharpen: float = 0.5) -> DataFrame:
+    """(vec_id, grid_width, grid_height, bits, payload): gray cells smoothed, summed by blocks, quantised, and their Gray-coded bit planes coded from the top."""
+    gray = error_diffusion(decimate(smoothed(cells), m), m, levels, sharpen)
+    grids = gray.groupBy("vec_id").agg((F.max("gx") + 1).alias("grid_width"), (F.max("gy") + 1).alias("grid_height"), F.transform(F.array_sort(F.collect_list(F.struct("gy", "gx", "gray"))), lambda c: c["gray"]).alias("gray"))
+    bits = max((levels - 1).bit_length(), 1)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for w, h, values in zip(*(batch.column(c).to_pylist() for c in ("grid_width", "grid_height", "gray"))):
+                v = np.array(values).reshape(h, w)
+                e = coding.Encoder()
+                for plane in range(bits - 1, -1, -1):
+                    e.bitmap((v ^ v >> 1) >> plane & 1 == 1)
+                out.append(e.finish())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "grid_width", "grid_height")), pa.array([bits] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "grid_width", "grid_height", "bits", "payload"])
+
+    return grids.mapInArrow(run, "vec_id long, grid_width long, grid_height long, bits long, payload binary")
+
 
-    spread = [(0, 1, 8), (0, 2, 4), (1, -2, 2), (1, -1, 4), (1, 0, 8), (1, 1, 4), (1, 2, 2), (2, -2, 1), (2, -1, 2), (2, 0, 4), (2, 1, 2), (2, 2, 1)]
+def decode(coded: DataFrame) -> DataFrame:
+    """(vec_id, gy, gx, gray) of coded grids."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["gy", "gx"])
-        value = {(y, x): t * (levels - 1) / (255 * m * m) for y, x, t in zip(pdf.gy, pdf.gx, pdf.total)}
-        out = []
-        for y, x in list(value):
-            q = min(levels - 1, max(0, int(value[y, x] + 0.5)))
-            err = value[y, x] - q
-            for dy, dx, w in spread:
-                if (y + dy, x + dx) in value:
-                    value[y + dy, x + dx] += err * w / 42
-            out.append(q)
-        return pdf.assign(gray=out)[["vec_id", "gy", "gx", "gray"]]
+    def run(batches):
+        for batch in batches:
+            for i, (w, h, bits, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grid_width", "grid_height", "bits", "payload")))):
+                d, above, gray = coding.Decoder(data), np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
+                for _ in range(bits):
+                    above = d.bitmap(w, h) ^ above
+                    gray = gray << 1 | above
+                y, x = np.indices((h, w)).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(np.full(h * w, i))), *map(pa.array, (y, x, gray.ravel()))], names=["vec_id", "gy", "gx", "gray"])
 
-    return blocks.groupBy("vec_id").applyInPandas(one, "vec_id long, gy long, gx long, gray long")
+    return coded.select("vec_id", "grid_width", "grid_height", "bits", "payload").mapInArrow(run, "vec_id long, gy long, gx long, gray long")

@@ -1,108 +1,68 @@
-"""Kernels that are sequential by nature: the adaptive arithmetic coder and greedy clustering, each per page."""
+"""The adaptive arithmetic coder over pages, which is sequential by nature."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Fixed values of ISO/IEC 14492 table E.1: (Qe, next after MPS, next after LPS, switch).
-STATES = [
-    (0x5601, 1, 1, 1), (0x3401, 2, 6, 0), (0x1801, 3, 9, 0), (0x0AC1, 4, 12, 0), (0x0521, 5, 29, 0), (0x0221, 38, 33, 0), (0x5601, 7, 6, 1), (0x5401, 8, 14, 0),
-    (0x4801, 9, 14, 0), (0x3801, 10, 14, 0), (0x3001, 11, 17, 0), (0x2401, 12, 18, 0), (0x1C01, 13, 20, 0), (0x1601, 29, 21, 0), (0x5601, 15, 14, 1), (0x5401, 16, 14, 0),
-    (0x5101, 17, 15, 0), (0x4801, 18, 16, 0), (0x3801, 19, 17, 0), (0x3401, 20, 18, 0), (0x3001, 21, 19, 0), (0x2801, 22, 19, 0), (0x2401, 23, 20, 0), (0x2201, 24, 21, 0),
-    (0x1C01, 25, 22, 0), (0x1801, 26, 23, 0), (0x1601, 27, 24, 0), (0x1401, 28, 25, 0), (0x1201, 29, 26, 0), (0x1101, 30, 27, 0), (0x0AC1, 31, 28, 0), (0x09C1, 32, 29, 0),
-    (0x08A1, 33, 30, 0), (0x0521, 34, 31, 0), (0x0441, 35, 32, 0), (0x02A1, 36, 33, 0), (0x0221, 37, 34, 0), (0x0141, 38, 35, 0), (0x0111, 39, 36, 0), (0x0085, 40, 37, 0),
-    (0x0049, 41, 38, 0), (0x0025, 42, 39, 0), (0x0015, 43, 40, 0), (0x0009, 44, 41, 0), (0x0005, 45, 42, 0), (0x0001, 45, 43, 0), (0x5601, 46, 46, 0),
-]
+from inkframe.operators import coding, pages
 
 
 def mq_encode(decisions: Iterable[tuple[int, int]], marker: bool = True) -> bytes:
     """Bytes of (context, bit) decisions by the MQ coder of annex E, with the closing marker if asked for."""
-    a, c, ct, out = 0x8000, 0, 12, bytearray([0])
-    state: dict[int, tuple[int, int]] = {}
-
-    def byte_out() -> None:
-        nonlocal c, ct
-        if out[-1] != 0xFF and c >= 0x8000000:  # a carry goes into the last byte
-            out[-1] += 1
-            c &= 0x7FFFFFF
-        wide = 20 if out[-1] == 0xFF else 19  # after FF a byte has seven bits
-        out.append(c >> wide)
-        c &= (1 << wide) - 1
-        ct = 27 - wide
-
+    e = coding.Encoder()
     for context, bit in decisions:
-        i, mps = state.get(context, (0, 0))
-        qe, up, down, switch = STATES[i]
-        a -= qe
-        likely = bit == mps
-        # the smaller part of the interval goes to the unlikely symbol
-        if (a < qe) == likely:
-            a = qe
-        else:
-            c += qe
-        if likely and a & 0x8000:
-            continue
-        state[context] = (up, mps) if likely else (down, mps ^ switch)
-        while True:
-            a, c, ct = a << 1, c << 1, ct - 1
-            if not ct:
-                byte_out()
-            if a & 0x8000:
-                break
-    top = c + a
-    c |= 0xFFFF
-    if c >= top:
-        c -= 0x8000
-    for _ in range(2):
-        c <<= ct
-        byte_out()
-    if out[-1] == 0xFF:
-        out.pop()
-    return bytes(out[1:]) + (b"\xff\xac" if marker else b"")
-
-
-def encode_pages(with_contexts: DataFrame) -> DataFrame:
-    """(vec_id, n_bytes, payload) of pages given as (vec_id, ctx array, bits array) in row order."""
-    import pyarrow as pa
+        e.bit(context, bit)
+    return e.finish() if marker else e.finish()[:-2]
+
+
+def encode_glyphs(with_bits: DataFrame, side: int = 8) -> DataFrame:
+    """(vec_id, payload): a generic region for each square glyph, given as (vec_id, bits array) in row order."""
 
     def run(batches):
         for b in batches:
-            data = [mq_encode(zip(c, v)) for c, v in zip(b.column("ctx").to_pylist(), b.column("bits").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([len(x) for x in data], pa.int64()), pa.array(data, pa.binary())], names=["vec_id", "n_bytes", "payload"])
-
-    return with_contexts.select("vec_id", "ctx", "bits").mapInArrow(run, "vec_id long, n_bytes long, payload binary")
-
-
-def greedy_clusters(g: DataFrame, most: int = 3, reach: int = 2) -> DataFrame:
-    """(vec_id, leader): in order, each glyph joins the first leader at most ``most`` pixels away in some shift by at most ``reach``, or leads.
-
-    Distances are those of :func:`dictionary.shifted_distance`. Each glyph depends on all before it, so one task takes them all.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        ones = np.array([i.bit_count() for i in range(256)], np.uint8)
-        rows = np.stack([pdf[w].to_numpy() >> 24 - 8 * i & 255 for w in ("hi", "lo") for i in range(4)], 1).astype(np.uint8)
-        ids, leaders, names, out = pdf.vec_id.tolist(), np.zeros((len(pdf), 8), np.uint8), [], []
-        for i, own in zip(ids, rows):
-            near = np.zeros(len(names), dtype=bool)
-            for dx in range(-reach, reach + 1):
-                moved = own >> dx if dx >= 0 else own << -dx
-                for dy in range(-reach, reach + 1):
-                    y = np.arange(max(dy, 0), 8 + min(dy, 0))
-                    near |= ones[leaders[: len(names), y] ^ moved[y - dy]].sum(1) <= most
-            if near.any():
-                out.append(names[int(near.argmax())])
-            else:
-                leaders[len(names)] = own
-                names.append(i)
-                out.append(i)
-        return pd.DataFrame({"vec_id": ids, "leader": out})
-
-    from pyspark.sql import functions as F
-
-    return g.select("vec_id", "hi", "lo", F.lit(0).alias("every")).groupBy("every").applyInPandas(one, "vec_id long, leader long")
+            data = [coding.encode_bitmap(np.array(v, bool).reshape(side, side)) for v in b.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(data, pa.binary())], names=["vec_id", "payload"])
+
+    return with_bits.select("vec_id", "bits").mapInArrow(run, "vec_id long, payload binary")
+
+
+def encode_pages(docs: DataFrame, ink: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, width, height, payload): a generic region for each text as a page; a page without a pixel column has none."""
+    kind, black = docs.schema[key].dataType.simpleString(), pages._ink(ink)
+
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                lines = (text or "").split("\n")
+                rows = np.zeros((len(lines), max(map(len, lines))), bool)
+                for y, line in enumerate(lines):
+                    rows[y, : len(line)] = black(np.frombuffer(line.encode("utf-32-le", "replace"), "<u4"))
+                data = [coding.encode_bitmap(rows) if rows.size else None]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([rows.shape[1]], pa.int64()), pa.array([rows.shape[0]], pa.int64()), pa.array(data, pa.binary())], names=[key, "width", "height", "payload"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, width long, height long, payload binary")
+
+
+def row_runs(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(y, x0, x1) of the black runs of a bitmap."""
+    edge = np.diff(np.pad(rows.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, x0 = np.nonzero(edge == 1)
+    return y, x0, np.nonzero(edge == -1)[1] - 1
+
+
+def decode_pages(coded: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, y, x0, x1): the black runs of coded generic regions."""
+    kind = coded.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i, (w, h, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "height", "payload")))):
+                if data is not None:
+                    found = row_runs(coding.Decoder(data).bitmap(w, h))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found[0]), i))), *map(pa.array, found)], names=[key, "y", "x0", "x1"])
+
+    return coded.select(key, "width", "height", "payload").mapInArrow(run, f"`{key}` {kind}, y long, x0 long, x1 long")

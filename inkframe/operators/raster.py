@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SIDE = 8
 MASK = 0xFFFFFFFF
@@ -62,21 +61,6 @@ def crop(black: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame
     return black.where(inside).withColumns({"x": F.col("x") - x, "y": F.col("y") - y})
 
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, y, line): a text as a page, one line per row of it."""
-    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("y", "line")).select("doc_id", F.col("y").cast("long").alias("y"), "line")
-
-
-def text_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, y, x0, x1): runs of non-spaces of each line; one row per run rather than per pixel."""
-    pieces = text_lines(docs).select("doc_id", "y", F.posexplode(F.split("line", " ", -1)).alias("i", "piece"))
-    w = Window.partitionBy("doc_id", "y").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("piece") + 1).over(w), F.lit(0)).cast("long")
-    runs = pieces.withColumn("x0", at).where("piece != ''")
-    return runs.select("doc_id", "y", "x0", (F.col("x0") + F.length("piece") - 1).cast("long").alias("x1"))
-
-
-def text_boxes(docs: DataFrame) -> DataFrame:
-    """Page box and pixels from runs."""
-    r = text_runs(docs).groupBy("doc_id").agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
-    return r
+def text_boxes(runs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Page box and pixels from runs; each task adds up its own before the exchange."""
+    return runs.groupBy(key).agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))

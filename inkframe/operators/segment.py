@@ -69,13 +69,14 @@ def dots(comp: DataFrame, key: str = "vec_id", size_ratio: float = 0.5, height_r
     return j.where(small & (aspect >= 0.5) & (aspect <= 2)).select(*comp.columns)
 
 
-def merge_distance(comp: DataFrame, key: str = "vec_id", first: int = 10) -> DataFrame:
-    """How far below a dot its base may begin: from mean and deviation of the first components' heights, within 5 and 30."""
+def merge_distance(comp: DataFrame, key: str = "vec_id", first: int = 10, pages: DataFrame | None = None) -> DataFrame:
+    """How far below a dot its base may begin: from mean and deviation of the first components' heights, within 5 and 30; 10 for one of ``pages`` without components."""
     w = Window.partitionBy(key).orderBy("y", "x", "comp")
     top = comp.withColumn("i", F.row_number().over(w)).where(F.col("i") <= first)
     d = top.groupBy(key).agg(F.avg("height").alias("mean"), F.stddev_pop("height").alias("sd"))
     raw = F.floor(F.round(0.6 * F.col("mean") + 0.5 * F.col("sd"), 9))
-    return d.select(key, F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.least(F.greatest(raw, F.lit(5)), F.lit(30)).cast("long").alias("distance"))
+    out = d.select(key, F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.least(F.greatest(raw, F.lit(5)), F.lit(30)).cast("long").alias("distance"))
+    return out if pages is None else pages.select(key).join(out, key, "left").withColumn("distance", F.coalesce("distance", F.lit(10).cast("long")))
 
 
 def nearest_base(dot: DataFrame, base: DataFrame, key: str = "vec_id", most: int = 5) -> DataFrame:
@@ -87,13 +88,6 @@ def nearest_base(dot: DataFrame, base: DataFrame, key: str = "vec_id", most: int
     return best.select(key, "dot", F.col("m.base").alias("base"), F.col("m.gap").cast("long").alias("gap"))
 
 
-def wide_glyphs(comp: DataFrame, key: str = "label", last: int = 10, factor: float = 1.5) -> DataFrame:
-    """Components wider than ``factor`` times the mean of the ``last`` ones before them (1 where there is none)."""
-    w = Window.partitionBy(key).orderBy("vec_id", "comp").rowsBetween(-last, -1)
-    r = comp.withColumn("mean_before", F.round(F.coalesce(F.avg("width").over(w), F.lit(1.0)), 6))
-    return r.where(F.col("width") > factor * F.col("mean_before")).select(key, "vec_id", "comp", "width", "mean_before")
-
-
 def column_gaps(black: DataFrame, key: str = "vec_id") -> DataFrame:
     """(key, gap_x, gap_width, cut): the widest run of white columns between black ones, and where it would be cut."""
     c = black.select(key, "x").distinct()

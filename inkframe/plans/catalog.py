@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkframe.functions import placement
-from inkframe.operators import dictionary, halftone, kernels, raster, segment, sequence
+from inkframe.operators import dictionary, halftone, pages, raster, segment, sequence
 from inkframe.sources import container
 from inkframe.streaming import templates as streams
 
@@ -120,12 +120,12 @@ def glyph_crop(spark, sf_dir):
 
 @query(f"WITH {_RUN} SELECT doc_id, y, x0, x1 FROM run")
 def text_runs(spark, sf_dir):
-    return raster.text_runs(_t(spark, sf_dir, "documents"))
+    return pages.runs(_t(spark, sf_dir, "documents"), None)
 
 
 @query(f"WITH {_RUN} SELECT doc_id, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) AS y1, CAST(sum(x1 - x0 + 1) AS BIGINT) AS n FROM run GROUP BY doc_id")
 def text_bbox(spark, sf_dir):
-    return raster.text_boxes(_t(spark, sf_dir, "documents"))
+    return raster.text_boxes(pages.runs(_t(spark, sf_dir, "documents"), None))
 
 
 @query(f"WITH {_G} SELECT hi, lo, min(vec_id) AS template_id, count(*) AS usage FROM g GROUP BY hi, lo")
@@ -160,41 +160,33 @@ def block_key_bucket(spark, sf_dir):
     return b.groupBy(dictionary.block_key(F.col("width"), F.col("height")).alias("block")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_G} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS BIGINT) AS d FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 15")
+@query(f"WITH {_G}, t AS (SELECT min(vec_id) AS vec_id, hi, lo FROM g GROUP BY hi, lo) SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS BIGINT) AS d FROM t a JOIN t b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 15")
 def hamming_pairs(spark, sf_dir):
-    return dictionary.hamming_pairs(_glyphs(spark, sf_dir), 15)
+    return dictionary.hamming_pairs(_glyphs(spark, sf_dir))
 
 
 @query(f"WITH {_BOX} SELECT a.width, a.height, a.n, CAST(sum(b.n) AS BIGINT) AS partners FROM (SELECT width, height, count(*) AS n FROM box GROUP BY 1, 2) a JOIN (SELECT width, height, count(*) AS n FROM box GROUP BY 1, 2) b ON abs(a.width - b.width) <= 4 AND abs(a.height - b.height) <= 4 GROUP BY 1, 2, 3")
-def size_gate_pairs(spark, sf_dir):
+def size_gate_partners(spark, sf_dir):
     return dictionary.size_gate(raster.boxes(_black(spark, sf_dir)))
 
 
 _SHIFT = f"""WITH {_PX},
-pair AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)),
+pair AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id),
 shift AS (SELECT dx, dy FROM (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)),
-moved AS (SELECT a, dx, dy, x + dx AS x, y + dy AS y FROM pair JOIN px ON vec_id = a, shift WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7),
-fixed AS (SELECT a, dx, dy, x, y FROM pair JOIN px ON vec_id = b, shift WHERE y - dy BETWEEN 0 AND 7),
-one AS (SELECT a, dx, dy, count(*) AS n FROM (SELECT * FROM moved UNION ALL SELECT * FROM fixed) GROUP BY 1, 2, 3),
-two AS (SELECT a, dx, dy, count(*) AS n FROM moved JOIN fixed USING (a, dx, dy, x, y) GROUP BY 1, 2, 3),
-err AS (SELECT pair.a, pair.b, shift.dx, shift.dy, coalesce(one.n, 0) - 2 * coalesce(two.n, 0) AS err FROM pair CROSS JOIN shift LEFT JOIN one ON one.a = pair.a AND one.dx = shift.dx AND one.dy = shift.dy LEFT JOIN two ON two.a = pair.a AND two.dx = shift.dx AND two.dy = shift.dy),
-best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY err, abs(dx) + abs(dy), dy, dx) AS i FROM err)
+moved AS (SELECT a, b, dx, dy, x + dx AS x, y + dy AS y FROM pair JOIN px ON vec_id = a, shift WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7),
+fixed AS (SELECT a, b, dx, dy, x, y FROM pair JOIN px ON vec_id = b, shift WHERE y - dy BETWEEN 0 AND 7),
+one AS (SELECT a, b, dx, dy, count(*) AS n FROM (SELECT * FROM moved UNION ALL SELECT * FROM fixed) GROUP BY 1, 2, 3, 4),
+two AS (SELECT a, b, dx, dy, count(*) AS n FROM moved JOIN fixed USING (a, b, dx, dy, x, y) GROUP BY 1, 2, 3, 4),
+err AS (SELECT pair.a, pair.b, shift.dx, shift.dy, coalesce(one.n, 0) - 2 * coalesce(two.n, 0) AS err FROM pair CROSS JOIN shift LEFT JOIN one ON one.a = pair.a AND one.b = pair.b AND one.dx = shift.dx AND one.dy = shift.dy LEFT JOIN two ON two.a = pair.a AND two.b = pair.b AND two.dx = shift.dx AND two.dy = shift.dy),
+best AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY err, abs(dx) + abs(dy), dy, dx) AS i FROM err)
 SELECT a, b, err, dx, dy FROM best WHERE i = 1"""
 
 
 @query(_SHIFT)
 def shifted_distance_pairs(spark, sf_dir):
-    g = _glyphs(spark, sf_dir).select("vec_id", "hi", "lo")
-    j = g.join(g.select((F.col("vec_id") - 1).alias("vec_id"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2")), "vec_id")
-    best = dictionary.shifted_distance(dictionary.byte_rows("hi", "lo"), dictionary.byte_rows("hi2", "lo2"))
-    return j.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), best.alias("m")).select("a", "b", "m.err", "m.dx", "m.dy")
-
-
-@query()
-def shifted_distance_all_pairs(spark, sf_dir):
-    """All pairs of glyphs, which are of one size."""
-    g = _glyphs(spark, sf_dir).select("vec_id", "hi", "lo")
-    j = g.select(F.col("vec_id").alias("a"), "hi", "lo").join(g.select(F.col("vec_id").alias("b"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2")), F.col("a") < F.col("b"))
+    """All pairs of glyphs of one label."""
+    g = _glyphs(spark, sf_dir)
+    j = g.select("label", F.col("vec_id").alias("a"), "hi", "lo").join(g.select("label", F.col("vec_id").alias("b"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2")), "label").where("a < b")
     best = dictionary.shifted_distance(dictionary.byte_rows("hi", "lo"), dictionary.byte_rows("hi2", "lo2"))
     return j.select("a", "b", best.alias("m")).select("a", "b", "m.err", "m.dx", "m.dy")
 
@@ -227,17 +219,11 @@ def dot_merge_nearest(spark, sf_dir):
     return segment.nearest_base(segment.dots(c), c)
 
 
-@query("WITH " + _COMP + """, top AS (SELECT vec_id, height, row_number() OVER (PARTITION BY vec_id ORDER BY y, x, comp) AS i FROM comp)
-SELECT vec_id, round(avg(height), 6) AS mean, round(stddev_pop(height), 6) AS sd, CAST(least(greatest(floor(round(0.6 * avg(height) + 0.5 * stddev_pop(height), 9)), 5), 30) AS BIGINT) AS distance FROM top WHERE i <= 10 GROUP BY vec_id""")
+@query("WITH " + _COMP + """, top AS (SELECT vec_id, height, row_number() OVER (PARTITION BY vec_id ORDER BY y, x, comp) AS i FROM comp),
+d AS (SELECT vec_id, round(avg(height), 6) AS mean, round(stddev_pop(height), 6) AS sd, CAST(least(greatest(floor(round(0.6 * avg(height) + 0.5 * stddev_pop(height), 9)), 5), 30) AS BIGINT) AS distance FROM top WHERE i <= 10 GROUP BY vec_id)
+SELECT vec_id, mean, sd, coalesce(distance, 10) AS distance FROM embeddings LEFT JOIN d USING (vec_id)""")
 def merge_distance_stats(spark, sf_dir):
-    return segment.merge_distance(_comps(spark, sf_dir))
-
-
-@query("WITH " + _COMP + """, r AS (SELECT e.label, c.vec_id, c.comp, c.width, round(coalesce(avg(c.width) OVER (PARTITION BY e.label ORDER BY c.vec_id, c.comp ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 1.0), 6) AS mean_before FROM comp c JOIN embeddings e USING (vec_id))
-SELECT CAST(label AS BIGINT) AS label, vec_id, comp, width, mean_before FROM r WHERE width > 1.5 * mean_before""")
-def wide_glyph_rolling(spark, sf_dir):
-    labels = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
-    return segment.wide_glyphs(_comps(spark, sf_dir).join(labels, "vec_id"))
+    return segment.merge_distance(_comps(spark, sf_dir), pages=_t(spark, sf_dir, "embeddings"))
 
 
 @query(f"WITH {_PX}, c AS (SELECT DISTINCT vec_id, x FROM px), n AS (SELECT vec_id, x, lead(x) OVER (PARTITION BY vec_id ORDER BY x) - x - 1 AS w FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, x) AS i FROM n WHERE w > 0) SELECT vec_id, x + 1 AS gap_x, w AS gap_width, x + 1 + w // 2 AS cut FROM b WHERE i = 1")
@@ -324,32 +310,11 @@ def bitplanes_gray_code(spark, sf_dir):
     return halftone.planes(halftone.quantize(_blocks(spark, sf_dir)).drop("total"))
 
 
-@query()
-def error_diffusion(spark, sf_dir):
-    return halftone.error_diffusion(_blocks(spark, sf_dir))
-
-
-@query()
-def greedy_cluster_first_match(spark, sf_dir):
-    return kernels.greedy_clusters(_glyphs(spark, sf_dir))
-
-
-@query()
-def mq_encode_page(spark, sf_dir):
-    return kernels.encode_pages(_contexts(spark, sf_dir)).select("vec_id", "n_bytes", F.hex("payload").alias("payload"))
-
-
 @query("SELECT vec_id // 1024 AS shard, vec_id AS page, CAST(kind AS BIGINT) AS kind, (row_number() OVER (PARTITION BY vec_id // 1024, kind ORDER BY vec_id) - 1) * 3 + k AS number FROM embeddings, (SELECT unnest([48, 38, 49]) AS kind, unnest(range(0, 3)) AS k)")
 def segment_numbers(spark, sf_dir):
     return container.segments(_t(spark, sf_dir, "embeddings"))
 
 
-@query()
-def segment_stream(spark, sf_dir):
-    files = container.documents(kernels.encode_pages(_contexts(spark, sf_dir)))
-    return files.select("shard", "n_pages", F.octet_length("file").cast("long").alias("n_bytes"), F.sha2("file", 256).alias("sha256"))
-
-
 @query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS k, coalesce(TRY_CAST(json_extract_string(props, '$.none') AS DOUBLE), 72.0) AS other FROM events")
 def json_number_default(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", placement.number_at(F.col("props"), "$.k").alias("k"), placement.number_at(F.col("props"), "$.none", 72.0).alias("other"))

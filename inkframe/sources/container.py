@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import struct
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkframe.operators import coding, kernels, matching
+
 MAGIC = bytes([0x97, 0x4A, 0x42, 0x32, 0x0D, 0x0A, 0x1A, 0x0A])
 #: Numbers of the segment types.
 TYPES = {0: "symbol dictionary", 4: "intermediate text region", 6: "immediate text region", 7: "immediate lossless text region", 16: "pattern dictionary", 20: "intermediate halftone region", 22: "immediate halftone region", 23: "immediate lossless halftone region", 36: "intermediate generic region", 38: "immediate generic region", 39: "immediate lossless generic region", 40: "intermediate generic refinement region", 42: "immediate generic refinement region", 43: "immediate lossless generic refinement region", 48: "page information", 49: "end of page", 50: "end of stripe", 51: "end of file", 52: "profiles", 53: "tables", 62: "extension"}
-PAGE, GENERIC, END_PAGE, END_FILE = 48, 38, 49, 51
+DICTIONARY, TEXT, PAGE, GENERIC, END_PAGE, END_FILE = 0, 6, 48, 38, 49, 51
+#: The usual adaptive pixels of template 0, as bytes.
+_AT = bytes([3, 0xFF, 0xFD, 0xFF, 2, 0xFE, 0xFE, 0xFE])
+#: Pages of one file.
+FILE_PAGES = 64
 
 
 def segments(pages: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -26,10 +35,10 @@ def segments(pages: DataFrame, key: str = "vec_id") -> DataFrame:
 
 
 def segment(number: int, kind: int, page: int, payload: bytes, refers: tuple[int, ...] = ()) -> bytes:
-    if len(refers) > 4:
-        raise ValueError("the short form refers to four segments at most")
+    """A segment with its header; more than four references take a 4-byte count and a byte of retention bits for every eight segments."""
     size = "B" if number <= 256 else "H" if number <= 65536 else "I"
-    head = struct.pack(">IBB", number, kind | (0x40 if page > 255 else 0), len(refers) << 5)
+    count = struct.pack(">B", len(refers) << 5) if len(refers) <= 4 else struct.pack(">I", 7 << 29 | len(refers)) + bytes((len(refers) + 8) // 8)
+    head = struct.pack(">IB", number, kind | (0x40 if page > 255 else 0)) + count
     return head + b"".join(struct.pack(">" + size, r) for r in refers) + struct.pack(">I" if page > 255 else ">B", page) + struct.pack(">I", len(payload)) + payload
 
 
@@ -40,7 +49,7 @@ def page_information(width: int, height: int, dpi: int = 300) -> bytes:
 
 def region(width: int, height: int, data: bytes, x: int = 0, y: int = 0) -> bytes:
     """A generic region with the 16-pixel template and its usual adaptive pixels."""
-    return struct.pack(">IIIIBB", width, height, x, y, 0, 0) + bytes([3, 0xFF, 0xFD, 0xFF, 2, 0xFE, 0xFE, 0xFE]) + data
+    return struct.pack(">IIIIBB", width, height, x, y, 0, 0) + _AT + data
 
 
 def document(pages: list[tuple[int, int, bytes]], dpi: int = 300) -> bytes:
@@ -53,12 +62,160 @@ def document(pages: list[tuple[int, int, bytes]], dpi: int = 300) -> bytes:
     return out + segment(n, END_FILE, 0, b"")
 
 
-def documents(coded: DataFrame, width: int = 8, height: int = 8) -> DataFrame:
-    """(shard, file): one file for each shard of 1,024 pages at most, from (vec_id, payload)."""
+def generic_documents(coded: DataFrame, key: str = "vec_id", per_file: int = FILE_PAGES) -> DataFrame:
+    """(file, ids, data): files of up to ``per_file`` pages by ranges of the key, from (key, width, height, payload) of generic regions."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        data = document([(w, h, bytes(p)) for w, h, p in zip(pdf["width"].tolist(), pdf["height"].tolist(), pdf["payload"])])
+        return pd.DataFrame({"file": [int(pdf["file"].iloc[0])], "ids": [pdf[key].tolist()], "data": [data]})
+
+    numbered = coded.select(key, "width", "height", "payload", F.floor(F.col(key) / per_file).alias("file"))
+    return numbered.groupBy("file").applyInPandas(one, "file long, ids array<long>, data binary")
+
+
+def dictionary(symbols: list[np.ndarray]) -> bytes:
+    """Payload of a symbol dictionary segment."""
+    return struct.pack(">H", 0) + _AT + struct.pack(">II", len(symbols), len(symbols)) + coding.encode_dictionary(symbols)
+
+
+def text(width: int, height: int, instances: list[tuple[int, int, int]], symbols: list[np.ndarray]) -> bytes:
+    """Payload of a text region with corners at the top left and strips of one row."""
+    return struct.pack(">IIIIBHI", width, height, 0, 0, 0, 1 << 4, len(instances)) + coding.encode_text(instances, symbols)
+
+
+def symbol_document(pages: list[tuple[int, int, list[tuple[int, int, np.ndarray]]]], dpi: int = 300) -> bytes:
+    """A file of (width, height, [(y, x, bitmap)]) pages: bitmaps used twice or more are in a dictionary for all pages, the others in their page's.
+
+    Ids are places in the global dictionary, followed by the page's, each ordered by height, width and bits. A page without a
+    symbol is an empty generic region.
+    """
+    key = lambda b: (b.shape, b.tobytes())
+    uses = Counter(key(b) for _, _, found in pages for _, _, b in found)
+    every = {key(b): b for _, _, found in pages for _, _, b in found}
+    shared = sorted(k for k, n in uses.items() if n > 1)
+    out, n, refers = MAGIC + struct.pack(">BI", 1, len(pages)), 0, ()
+    if shared:
+        out, n, refers = out + segment(0, DICTIONARY, 0, dictionary([every[k] for k in shared])), 1, (0,)
+    for page, (width, height, found) in enumerate(pages, 1):
+        own = sorted({key(b) for _, _, b in found if uses[key(b)] == 1})
+        parts = [(PAGE, page_information(width, height, dpi), ())]
+        if own:
+            parts.append((DICTIONARY, dictionary([every[k] for k in own]), ()))
+        if found:
+            place = {k: i for i, k in enumerate([*shared, *own])}
+            drawn = sorted((y, x, place[key(b)]) for y, x, b in found)
+            parts.append((TEXT, text(width, height, drawn, [every[k] for k in [*shared, *own]]), refers + ((n + 1,) if own else ())))
+        elif width:
+            parts.append((GENERIC, region(width, height, coding.encode_bitmap(np.zeros((height, width), bool))), ()))
+        for kind, payload, to in [*parts, (END_PAGE, b"", ())]:
+            out += segment(n, kind, page, payload, to)
+            n += 1
+    return out + segment(n, END_FILE, 0, b"")
+
+
+def read_segments(data: bytes):
+    """(number, kind, references, page, payload) of each segment of a file."""
+    if data[:8] != MAGIC:
+        raise ValueError("not a coded document")
+    at = 13 if not data[8] & 2 else 9
+    while at < len(data):
+        number, flags, count = struct.unpack_from(">IBB", data, at)
+        at += 5
+        if count >> 5 < 7:
+            count, at = count >> 5, at + 1
+        else:
+            count = struct.unpack_from(">I", data, at)[0] & 0x1FFFFFFF
+            at += 4 + (count + 8) // 8
+        size = 1 if number <= 256 else 2 if number <= 65536 else 4
+        refers = [int.from_bytes(data[at + i * size : at + (i + 1) * size], "big") for i in range(count)]
+        at += count * size
+        wide = 4 if flags & 0x40 else 1
+        page, length = int.from_bytes(data[at : at + wide], "big"), struct.unpack_from(">I", data, at + wide)[0]
+        at += wide + 4
+        if flags & 63 not in TYPES:
+            raise ValueError(f"segment {number} has the unknown type {flags & 63}")
+        yield number, flags & 63, refers, page, data[at : at + length]
+        at += length
+
+
+def read_pages(data: bytes) -> list[np.ndarray]:
+    """The pages of a file of generic and text regions."""
+    known, pages = {}, []
+    for number, kind, refers, _, payload in read_segments(data):
+        if kind == PAGE:
+            width, height = struct.unpack_from(">II", payload)
+            pages.append(np.zeros((height, width), bool))
+        elif kind == DICTIONARY:
+            known[number] = coding.decode_dictionary(payload[18:], struct.unpack_from(">I", payload, 14)[0])
+        elif kind in (GENERIC, TEXT):
+            width, height, x, y = struct.unpack_from(">IIII", payload)
+            if kind == GENERIC:
+                drawn = coding.Decoder(payload[26:]).bitmap(width, height)
+            else:
+                symbols = [s for r in refers for s in known[r]]
+                drawn = coding.draw(width, height, coding.decode_text(payload[23:], struct.unpack_from(">I", payload, 19)[0], symbols), symbols)
+            pages[-1][y : y + height, x : x + width] |= drawn
+    return pages
+
+
+def symbol_documents(symbols: DataFrame, sizes: DataFrame, key: str = "doc_id", per_file: int = FILE_PAGES) -> DataFrame:
+    """(file, ids, data): files of up to ``per_file`` pages by ranges of the key, in symbol mode, from symbols (key, x, y, width, height, words) and page sizes.
+
+    Every page of ``sizes`` is in a file, with or without symbols. A file is one task's work.
+    """
     import pandas as pd
 
+    found = symbols.groupBy(key).agg(F.collect_list(F.struct("x", "y", "width", "height", "words")).alias("symbols"))
+    pages = sizes.join(found, key, "left").withColumn("file", F.floor(F.col(key) / per_file))
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n_pages": [len(pdf)], "file": [document([(width, height, bytes(p)) for p in pdf["payload"]])]})
+        pdf = pdf.sort_values(key)
+        cut = lambda s: matching.pixels(np.array([s["words"]]), s["width"], s["height"])[0]
+        drawn = [[(s["y"], s["x"], cut(s)) for s in (() if found is None else found)] for found in pdf["symbols"]]
+        data = symbol_document(list(zip(pdf["page_width"].tolist(), pdf["page_height"].tolist(), drawn)))
+        return pd.DataFrame({"file": [int(pdf["file"].iloc[0])], "ids": [pdf[key].tolist()], "data": [data]})
+
+    return pages.groupBy("file").applyInPandas(one, "file long, ids array<long>, data binary")
+
+
+def read_documents(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, y, x0, x1): the black runs of every page of files (file, ids, data)."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, data in zip(batch.column("ids").to_pylist(), batch.column("data").to_pylist()):
+                for i, page in zip(ids, read_pages(data)):
+                    found = kernels.row_runs(page)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), i)), *map(pa.array, found)], names=[key, "y", "x0", "x1"])
+
+    return files.select("ids", "data").mapInArrow(run, f"`{key}` long, y long, x0 long, x1 long")
+
+
+def dictionaries(t: DataFrame, key: str) -> DataFrame:
+    """(key, symbols, data): a dictionary alone, without pages, of the distinct bitmaps (key, width, height, words) of each key."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = [matching.pixels(np.array([words]), w, h)[0] for w, h, words in zip(pdf["width"].tolist(), pdf["height"].tolist(), pdf["words"])]
+        every.sort(key=lambda b: (b.shape, b.tobytes()))
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "symbols": [len(every)], "data": [dictionary(every)]})
+
+    kind = t.schema[key].dataType.simpleString()
+    return t.select(key, "width", "height", "words").distinct().groupBy(key).applyInPandas(one, f"`{key}` {kind}, symbols long, data binary")
+
+
+def read_dictionaries(d: DataFrame, key: str) -> DataFrame:
+    """(key, position, width, height, words) of dictionaries as :func:`dictionaries` makes them."""
+    kind = d.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i, data in enumerate(batch.column("data").to_pylist()):
+                found = coding.decode_dictionary(data[18:], struct.unpack_from(">I", data, 14)[0])
+                words = [np.packbits(np.pad(b, ((0, 0), (0, -b.shape[1] % 32))), axis=1).view(">u4").astype(np.int64).ravel() for b in found]
+                at = pa.array(np.full(len(found), i))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(at), pa.array(np.arange(len(found))), *(pa.array([b.shape[s] for b in found], pa.int64()) for s in (1, 0)), pa.array(words, pa.list_(pa.int64()))], names=[key, "position", "width", "height", "words"])
 
-    return coded.select("vec_id", "payload", F.floor(F.col("vec_id") / 1024).cast("long").alias("shard")).groupBy("shard").applyInPandas(one, "shard long, n_pages long, file binary")
+    return d.select(key, "data").mapInArrow(run, f"`{key}` {kind}, position long, width long, height long, words array<long>")

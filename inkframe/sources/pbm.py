@@ -41,15 +41,21 @@ def render(width: int, height: int, rows: bytes) -> bytes:
     return b"P4\n%d %d\n" % (width, height) + rows
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, rows) of all files of a path or pattern."""
+def parsed(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, width, height, rows) of files held in a column."""
+    kind = files.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            pages = [parse(x) for x in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([p[0] for p in pages], pa.int32()), pa.array([p[1] for p in pages], pa.int32()), pa.array([p[2] for p in pages], pa.binary())], names=["path", "width", "height", "rows"])
+            found = [parse(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in found], pa.int32()) for i in (0, 1)), pa.array([f[2] for f in found], pa.binary())], names=[key, "width", "height", "rows"])
+
+    return files.select(key, content).mapInArrow(run, f"`{key}` {kind}, width int, height int, rows binary")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, width int, height int, rows binary")
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height, rows) of all files of a path or pattern."""
+    return parsed(spark.read.format("binaryFile").load(path))
 
 
 def runs(pages: DataFrame, key: str = "path") -> DataFrame:

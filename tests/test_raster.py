@@ -3,11 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from inkframe.operators import dictionary, halftone, kernels, raster, segment, sequence
-from inkframe.plans import catalog
-from inkframe.sources import container, pbm
+from inkframe.operators import bitmap, coding, dictionary, halftone, kernels, matching, pages, raster, segment, sequence
+from inkframe.plans import catalog, documents
+from inkframe.sources import container, headers, pbm
 from inkframe.streaming import templates as streams
 
 SF = "/root/testdata/sf0.001"
@@ -93,7 +95,7 @@ def test_range_class_covers_every_integer(spark):
 
 def test_error_diffusion_keeps_the_mean(spark):
     cells = spark.createDataFrame([(1, y, x, 1000) for y in range(8) for x in range(8)], "vec_id long, gy long, gx long, total long")
-    got = [r.gray for r in halftone.error_diffusion(cells).collect()]
+    got = [r.gray for r in halftone.error_diffusion(cells, sharpen=0.0).collect()]
     assert abs(sum(got) / 64 - 1000 * 15 / 4080) < 0.3
 
 
@@ -127,34 +129,188 @@ def test_dictionary_stream_equals_batch(spark, tmp_path):
     assert key(got) == key(dictionary.templates(spark.read.parquet(str(tmp_path / "in"))))
 
 
-def _shifted(a, b):
-    """Least error over the shifts of a by two at most; both are (hi, lo)."""
-    rows = lambda g: [w >> 24 - 8 * i & 255 for w in g for i in range(4)]
-    a, b = rows(a), rows(b)
-    move = lambda r, dx: r >> dx if dx >= 0 else r << -dx & 255
-    return min(sum((move(a[y - dy], dx) ^ b[y]).bit_count() for y in range(8) if 0 <= y - dy < 8) for dy in range(-2, 3) for dx in range(-2, 3))
-
-
-def test_distances_and_clusters_over_all_glyphs(spark):
-    import random
-
-    from inkframe.operators import kernels
-    from inkframe.plans import catalog
-
-    rnd = random.Random(6)
-    glyphs = [(rnd.getrandbits(32), rnd.getrandbits(32)) for _ in range(6)]
-    glyphs += [(hi >> 1 & 0x7F7F7F7F, lo >> 1 & 0x7F7F7F7F) for hi, lo in glyphs] + [(hi, lo ^ 1) for hi, lo in glyphs]
-    # shifted copies, and copies further than 256 ids away
-    ids = [i * 100 for i in range(len(glyphs))]
-    df = spark.createDataFrame([(i, *g) for i, g in zip(ids, glyphs)], "vec_id long, hi long, lo long")
-    want, leaders = [], []
-    for i, g in zip(ids, glyphs):
-        near = [k for k, x in leaders if _shifted(g, x) <= 3]
-        if not near:
-            leaders.append((i, g))
-        want.append((i, near[0] if near else i))
-    assert sorted(map(tuple, kernels.greedy_clusters(df).collect())) == want and len(leaders) < len(glyphs) - 6
-    sf = "/root/testdata/sf0.001"
-    every = [(r.vec_id, (r.hi, r.lo)) for r in catalog._glyphs(spark, sf).orderBy("vec_id").limit(20).collect()]
-    got = {(r.a, r.b): r.err for r in catalog.QUERIES["shifted_distance_all_pairs"](spark, sf).where(f"b <= {every[-1][0]}").collect()}
-    assert got == {(a, b): _shifted(x, y) for a, x in every for b, y in every if a < b} and len(got) == 190
+def _apart(a, b):
+    """(err, cost, dy, dx) by the definition, pixel by pixel."""
+    wide, best = max(a.shape[1], b.shape[1]), []
+    at = lambda p, y, x: bool(0 <= y < p.shape[0] and 0 <= x < p.shape[1] and p[y, x])
+    for dy in range(-2, 3):
+        for dx in range(-2, 3):
+            err = sum(at(a, y - dy, x - dx) != at(b, y, x) for y in range(b.shape[0]) if 0 <= y - dy < a.shape[0] for x in range(wide))
+            if any(0 <= y - dy < a.shape[0] for y in range(b.shape[0])):
+                best.append((err, abs(dy) + abs(dx), dy, dx))
+    return min(best)
+
+
+def test_distances_of_any_size():
+    rnd = np.random.default_rng(5)
+    for _ in range(60):
+        (h, w), (k, v) = rnd.integers(1, 9, 2), rnd.integers(1, 40, 2)
+        a, b = rnd.random((h, w)) < 0.4, rnd.random((k, v)) < 0.4
+        err, dy, dx = matching.distances(a[None], b[None])[0].tolist()
+        assert (err, abs(dy) + abs(dx), dy, dx) == _apart(a, b)
+    a = rnd.random((9, 33)) < 0.5
+    assert matching.distances(a[None], a[None])[0].tolist() == [0, 0, 0] and matching.distances(a[None], ~a[None])[0][0] > 30
+    # a golden pair: the second is the first moved by one column, and more rows differ than not
+    one = np.array([[1, 1, 0, 0], [0, 1, 1, 0], [0, 0, 1, 1], [0, 0, 0, 1]], bool)
+    assert matching.distances(one[None], np.roll(one, 1, 1)[None])[0].tolist()[0] < 4
+
+
+def _bitmaps(spark, rows):
+    """(page, id, width, height, words) of (page, id, boolean rows)."""
+    words = lambda b: np.packbits(np.pad(b, ((0, 0), (0, -b.shape[1] % 32))), axis=1).view(">u4").astype(np.int64).ravel().tolist()
+    return spark.createDataFrame([(p, i, b.shape[1], b.shape[0], words(b)) for p, i, b in rows], "page long, id long, width long, height long, words array<long>")
+
+
+@pytest.mark.parametrize(("share", "least", "more_than"), [(20, 0, 0), (33, 1, 50)])
+def test_leaders_against_brute_force(spark, share, least, more_than):
+    rnd = np.random.default_rng(share)
+    rows = []
+    for page, n in ((1, 70), (2, 30), (3, 1)):
+        base = [rnd.random((rnd.integers(5, 9), rnd.integers(5, 40))) < 0.4 for _ in range(6)]
+        for i in range(n):
+            b = base[rnd.integers(6)].copy()
+            for _ in range(rnd.integers(0, 5)):
+                b[rnd.integers(b.shape[0]), rnd.integers(b.shape[1])] ^= True
+            rows.append((page, 1000 * page + 7 * i, b))
+    want = {}
+    for page in (1, 2, 3):
+        own, leaders = [r for r in rows if r[0] == page], []
+        for _, i, b in own:
+            hit = [k for k, x in leaders if abs(x.shape[0] - b.shape[0]) <= 4 and abs(x.shape[1] - b.shape[1]) <= 4 and _apart(x, b)[0] <= max(least, x.size // share)] if len(own) > more_than else []
+            want[i] = hit[0] if hit else i
+            if not hit:
+                leaders.append((i, b))
+    got = {r.id: r.leader for r in matching.leaders(_bitmaps(spark, rows), "page", ["id"], share, least, more_than).collect()}
+    assert got == want and len(set(want.values())) < len(want) - 40
+
+
+def test_leaders_over_the_glyphs(spark):
+    """The queries keep every glyph, and leaders lead themselves."""
+    for name in ("consolidate_symbols", "greedy_cluster_first_match"):
+        got = {r.id: r.leader for r in catalog.QUERIES[name](spark, SF).collect()}
+        assert set(got) == {r.id for r in documents._symbols(spark, SF).collect()}
+        assert all(got[v] == v for v in got.values())
+
+
+def test_union_and_repoint(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(3, 100), (2, 100), (5, 6)], "id_a long, id_b long")
+    root = matching.roots(edges)
+    want = {**{i: 10 for i in range(10, 41)}, 3: 2, 2: 2, 100: 2, 5: 5, 6: 5}
+    assert {r.id: r.root for r in root.collect()} == want
+    t = spark.createDataFrame([(2, 1, [1]), (3, 2, [2, 1]), (100, 4, [9]), (7, 1, [3])], "id long, usage long, pages array<long>")
+    assert sorted(map(tuple, matching.unite(t, root).collect())) == [(2, 7, [1, 2, 9]), (7, 1, [3])]
+    moved = matching.repoint(spark.createDataFrame([(1, 100), (2, 7)], "page long, template long"), root)
+    assert sorted((r.page, r.template) for r in moved.collect()) == [(1, 2), (2, 7)]
+
+
+def test_coders_round_trip():
+    rnd, rng = random.Random(1), np.random.default_rng(0)
+    for n in (0, 1, 50, 2000):
+        v = [rnd.choice([None, rnd.randrange(-5, 6), rnd.randrange(-400, 400), rnd.randrange(-(10**9), 10**9)]) for _ in range(n)]
+        e = coding.Encoder()
+        for x in v:
+            e.integer("IADW", x)
+        d = coding.Decoder(e.finish())
+        assert [d.integer("IADW") for _ in v] == v
+    with pytest.raises(ValueError):
+        coding.Encoder().integer("IADW", 1 << 40)
+    for h, w, p in ((1, 1, 0.5), (3, 70, 0.1), (40, 33, 0.5), (5, 5, 0), (2, 2, 1)):
+        b = rng.random((h, w)) < p
+        assert (coding.Decoder(coding.encode_bitmap(b)).bitmap(w, h) == b).all()
+    symbols = sorted([rng.random((rnd.randrange(1, 9), rnd.randrange(1, 40))) < 0.4 for _ in range(60)], key=lambda s: s.shape)
+    back = coding.decode_dictionary(coding.encode_dictionary(symbols), 60)
+    assert all((a == b).all() for a, b in zip(symbols, back))
+    one, two = (len(coding.encode_dictionary(s)) for s in (symbols[:1], symbols[:1] * 2))
+    assert two <= 2 * one
+    with pytest.raises(ValueError):
+        coding.encode_dictionary([])
+    placed = sorted((rnd.randrange(100), rnd.randrange(500), rnd.randrange(60)) for _ in range(300))
+    assert coding.decode_text(coding.encode_text(placed, symbols), 300, symbols) == placed
+
+
+def test_symbol_documents_round_trip():
+    """Pages with shared and own symbols, without symbols, and without pixels; more than 255 pages; many references."""
+    rng = np.random.default_rng(2)
+    shared, pages_ = [rng.random((4, 5)) < 0.5 for _ in range(3)], []
+    cross = np.array([[0, 1, 0], [1, 1, 1], [0, 1, 0]], bool)
+    for i in range(300):
+        found = [(int(rng.integers(0, 20)), int(rng.integers(0, 60)), shared[rng.integers(3)]) for _ in range(rng.integers(0, 4))]
+        if i % 3 == 0:
+            found.append((2, 3, rng.random((6, 7)) < 0.5))
+        pages_.append((70 if i else 0, 30 if i else 1, found if i else []))
+    pages_[5] = (70, 30, [(1, 1, cross)] * 2)
+    got = container.read_pages(container.symbol_document(pages_))
+    for (w, h, found), page in zip(pages_, got, strict=True):
+        want = np.zeros((h, w), bool)
+        for y, x, b in found:
+            part = want[y : y + b.shape[0], x : x + b.shape[1]]
+            part |= b[: part.shape[0], : part.shape[1]]
+        assert (page == want).all()
+    refs = tuple(range(9))
+    data = container.MAGIC + b"\x01\0\0\0\x01" + container.segment(300, container.TEXT, 700, b"abc", refs) + container.segment(301, container.END_FILE, 0, b"")
+    assert list(container.read_segments(data)) == [(300, container.TEXT, list(refs), 700, b"abc"), (301, container.END_FILE, [], 0, b"")]
+    with pytest.raises(ValueError):
+        list(container.read_segments(container.MAGIC + b"\x01\0\0\0\x01" + container.segment(1, 9, 1, b"")))
+    with pytest.raises(ValueError):
+        container.read_pages(b"nothing of the kind")
+
+
+def test_checks_of_parameters(spark):
+    assert headers.RegionParameters().at == headers.AT
+    for bad in ({"template": 4}, {"at": [(0, 0)] * 5}, {"operator": 5}):
+        with pytest.raises(ValueError):
+            headers.RegionParameters(**bad)
+    one = spark.createDataFrame([(5, 3, "1" * 15)], "w int, h int, s string")
+    assert one.select(bitmap.from_bits(F.col("w"), F.col("h"), F.col("s")).alias("b")).first().b == [0xF8000000] * 3
+    with pytest.raises(Exception, match="fill"):
+        one.select(bitmap.from_bits(F.col("w"), F.col("h") + 1, F.col("s"))).collect()
+    with pytest.raises(Exception, match="fill"):
+        one.select(bitmap.from_bytes(F.col("w"), F.col("h"), F.lit(b"abc"))).collect()
+    black = spark.createDataFrame([(1, 0, 0)], "vec_id long, x long, y long")
+    rect = spark.createDataFrame([(1, 6, 0, 3, 3)], "vec_id long, x0 long, y0 long, width long, height long")
+    with pytest.raises(Exception, match="leaves"):
+        bitmap.crop(black, rect, spark.createDataFrame([(1, 8, 8)], "vec_id long, page_width long, page_height long")).collect()
+    found = spark.createDataFrame([(1, 0, 0, 0, 1, 1, 1, [5])], "doc_id long, comp long, part long, x long, y long, width long, height long, words array<long>")
+    with pytest.raises(Exception, match="without a template"):
+        pages.resolve(found, pages.dictionary_ids(pages.templates(found)).where("false")).collect()
+
+
+def test_components_of_pages_from_files(spark, tmp_path):
+    """A page from a PBM file, wider than a word, against flood fill."""
+    rng = np.random.default_rng(4)
+    b = rng.random((25, 45)) < 0.35
+    text = "\n".join("".join("e" if v else "." for v in r) for r in b)
+    got = pages.components(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "x")], "doc_id long, text string")).drop("runs").collect()
+    left, want = {tuple(p) for p in np.argwhere(b)}, []
+    while left:
+        todo, seen = [min(left)], set()
+        while todo:
+            y, x = p = todo.pop()
+            if p in left:
+                left.discard(p)
+                seen.add(p)
+                todo += [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        y, x = zip(*seen)
+        first = min(seen)
+        want.append((1, first[0] << 24 | first[1], min(x), min(y), max(x) - min(x) + 1, max(y) - min(y) + 1, len(seen)))
+    assert sorted(map(tuple, got)) == sorted(want)
+    (tmp_path / "a.pbm").write_bytes(pbm.render(45, 25, np.packbits(b, axis=1).tobytes()))
+    runs = pbm.runs(pbm.read(spark, str(tmp_path / "*.pbm")))
+    same = pages.runs(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert sorted(tuple(r)[1:] for r in runs.collect()) == sorted(tuple(r)[1:] for r in same.collect())
+
+
+def test_error_diffusion_cell_by_cell():
+    """Larger grids than the query's, against the recurrence written out."""
+    value = np.random.default_rng(3).random((3, 5, 6)) * 15
+    for got, grid in zip(halftone.diffuse(value, 16, 0.5), value):
+        held, last = grid.copy(), 0.0
+        for y in range(5):
+            for x in range(6):
+                own = held[y, x] - 0.5 * last
+                q = min(15, max(0, int(np.floor(own + 0.5))))
+                assert got[y, x] == q
+                last = own - q
+                for dy, dx, w in halftone.SPREAD:
+                    if y + dy < 5 and 0 <= x + dx < 6:
+                        held[y + dy, x + dx] += last * w / 42
