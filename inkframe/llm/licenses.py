@@ -131,10 +131,9 @@ def places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", slack: int = 3) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every text; spans are (label, begin, end) in words."""
     found = places(docs, key, text)
-    w = Window.partitionBy("row", "template").orderBy(F.col("diagonal") + F.col("first"), "first")
-    # a new group where the diagonal jumps, or where the template starts again
-    lag = lambda c: F.lag(c).over(w)
-    new = lag("diagonal").isNull() | (F.abs(F.col("diagonal") - lag("diagonal")) > slack) | (F.col("first") <= lag("last"))
+    w = Window.partitionBy("row", "template").orderBy("diagonal")
+    before = F.lag("diagonal").over(w)
+    new = before.isNull() | (F.col("diagonal") - before > slack)
     grouped = found.withColumn("group", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = grouped.groupBy("row", "key", "template", "grams", "size", "label", "base", "group").agg(
         F.sum("votes").alias("votes"),

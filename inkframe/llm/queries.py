@@ -92,8 +92,8 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 t(gram, template, place, grams, size, label, base) AS (VALUES {_license_templates()}),
 g AS (SELECT doc_id, i - 1 AS pos, w[i : i + k - 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT unnest([2, 4]) AS k) WHERE i + k - 1 <= len(w)),
 hit AS (SELECT doc_id, template, grams, size, label, base, pos - place AS diagonal, count(*) AS votes, min(place) AS a, max(place) AS z FROM g JOIN t USING (gram) GROUP BY ALL),
-jump AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= 3 AND a > lag(z) OVER o THEN 0 ELSE 1 END AS new FROM hit WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal + a, a)),
-merged AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal + a, a ROWS UNBOUNDED PRECEDING) AS k FROM jump),
+jump AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= 3 THEN 0 ELSE 1 END AS new FROM hit WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+merged AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS k FROM jump),
 span AS (SELECT doc_id, label, base, grams, sum(votes) AS votes, max(diagonal + z + 1 + size - grams) - min(diagonal + a) AS length, size,
   count(*) FILTER (votes = grams) AS whole, min(diagonal) FILTER (votes = grams) AS first_at, max(diagonal) FILTER (votes = grams) AS last_at FROM merged GROUP BY doc_id, template, label, base, grams, size, k),
 judged AS (SELECT *, CASE WHEN base THEN whole > 0 ELSE 100 * votes >= 85 * grams AND 100 * length <= 150 * size END AS ok FROM span)
