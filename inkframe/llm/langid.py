@@ -12,8 +12,10 @@ The language of a text is the one with the least cross-entropy per symbol. ``rej
 is above what the language's own training text shows: its mean, plus ``Z`` standard errors for the text's length,
 plus ``MARGIN`` nats.
 
-Null texts and texts without a letter are ``und`` with score 0; without any training text every text is. Equal rows are
-each scored for themselves. Columns other than key, text and label aren't read.
+Null texts and texts without a letter are ``und`` with score 0; without any training text every text is. Of languages with
+the same cross-entropy the first by name is taken. Equal rows are each scored for themselves, also where keys are equal or
+null; an empty table gives no rows; very long texts are a step of their own. Columns other than key, text and label aren't
+read, so none can clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Tokens are maximal runs of word bytes or of other non-space
 bytes.
 
 Null texts have no words and fail the base rule, as empty ones do. Without a single trusted text every ratio is 0.
-Equal rows are judged alike. The rows' own columns stay unless a result has their name, which then wins.
+Equal rows are judged alike; a null key is never trusted, and a key that repeats is trusted in each of its rows. Very long
+texts are a step of their own, an empty table gives no rows, and a score equal to the threshold is kept. The rows' own
+columns stay unless a result has their name, which then wins.
 """
 
 from __future__ import annotations

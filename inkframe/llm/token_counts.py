@@ -8,7 +8,8 @@ texts and ids before it and the place of the last end id, which stitches a text
 ``write_tokens`` makes such files with a byte-level vocabulary: blocks are rows of a Parquet table in the shared folder,
 as only Spark's writers reach every store; ``read_flat`` takes plain files. A text's key is kept in file order beside the
 blocks, without its place. Null and empty texts have no tokens; a file's ids after its last end id are an unfinished text.
-Equal rows are counted each. An empty table gives no rows.
+Equal rows are counted each, also where keys are equal or null. An empty table gives no rows. Very long texts span blocks.
+Only key and text are read, so other columns can't clash. Plain files are read whole, so they are limited to 2 GB each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkframe.llm import kernels as K
-from inkframe.llm.bpe import encoder, read_ranks
+from inkframe.llm.bpe import bytes_by_id, encoder, read_ranks
 from inkframe.llm.common import Scratch
 
 #: Bytes of one block.
@@ -60,7 +61,11 @@ def _write(shared, pattern: str, end: int, block: int):
 def write_tokens(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(file, block, data, keys): token files of 16-bit ids, one for each partition of the texts, in their order. Nothing is shuffled."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(ranks))
+    data = read_ranks(ranks)
+    known = bytes_by_id(data)
+    if len(known) > 1 << 16 or not 0 <= end < 1 << 16 or (end < len(known) and known[end]):
+        raise ValueError(f"16-bit ids with the end id {end} can't hold a vocabulary of {len(known)}")
+    shared = spark.sparkContext.broadcast(data)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return (scratch or Scratch(spark, "tokens")).store(docs.mapInArrow(_write(shared, pattern, end, block), "file long, block long, data binary, keys array<long>"), "files")
 

@@ -9,7 +9,9 @@ purity is its share of bad labels, smoothed towards the parent's purity. ``LIMIT
 Explicit rules of host and path prefix come first, and the longest that fits wins.
 
 Null urls and those without ``://`` have an empty host and path and fit no rule. Labels of equal keys count once, as bad if
-any is; repeated urls count each. Only key, url and labels are read, so other columns can't clash.
+any is, null keys and null labels not at all; repeated urls count each, also under one key. Of rules of equal length the one
+listed first wins. An empty table gives no rows, very long urls have deep trees. Only key, url and labels are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
