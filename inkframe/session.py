@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of one Arrow batch on its way to or from a Python worker, unless a single row is larger.
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
@@ -22,7 +24,8 @@ def session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, so that Python workers import it wherever they run."""
+    """Send the package to the executors once per application, so that Python workers import it wherever they run, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
