@@ -205,12 +205,12 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", threshold: float = THRESHOLD, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """The rows with their statistics, ``llr`` (nats per n-gram), ``base_failed`` and ``kept``."""
+def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", threshold: float = THRESHOLD, min_words: int = 50, repeat_percent: int = 50, with_text: bool = True) -> DataFrame:
+    """The rows, without the text if so asked, with their statistics, ``llr`` (nats per n-gram), ``base_failed`` and ``kept``."""
     shared, bits = docs.sparkSession.sparkContext.broadcast(ratio), len(ratio).bit_length() - 1
     new = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "llr": "double", "base_failed": "boolean", "kept": "boolean"}
     docs = docs.drop(*(c for c in docs.columns if c.lower() in new))
-    own = docs.columns
+    own = [c for c in docs.columns if with_text or c != text]
 
     def run(batches):
         for batch, buf, off in K.steps(batches, text):
@@ -222,7 +222,7 @@ def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", threshold: flo
             llr = total / np.maximum(np.bincount(doc, minlength=n), 1) / UNIT
             failed = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > repeat_percent * out["n_words"])
             columns = [*out.values(), llr, failed, ~failed & (llr >= threshold)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], names=[*own, *new])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *map(pa.array, columns)], names=[*own, *new])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own)
     return docs.mapInArrow(run, ", ".join([fields, *(f"{k} {v}" for k, v in new.items())]))

@@ -27,7 +27,7 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratio = quality.fit(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return quality.score(docs, ratio).drop("text")
+    return quality.score(docs, ratio, with_text=False)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
