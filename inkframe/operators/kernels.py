@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkframe.operators import coding, pages
+from inkframe.session import spread
 
 
 def mq_encode(decisions: Iterable[tuple[int, int]], marker: bool = True) -> bytes:
@@ -27,7 +28,7 @@ def encode_glyphs(with_bits: DataFrame, side: int = 8) -> DataFrame:
             data = [coding.encode_bitmap(np.array(v, bool).reshape(side, side)) for v in b.column("bits").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(data, pa.binary())], names=["vec_id", "payload"])
 
-    return with_bits.select("vec_id", "bits").mapInArrow(run, "vec_id long, payload binary")
+    return spread(with_bits.select("vec_id", "bits")).mapInArrow(run, "vec_id long, payload binary")
 
 
 def encode_pages(docs: DataFrame, ink: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,7 +45,7 @@ def encode_pages(docs: DataFrame, ink: str | None = None, key: str = "doc_id", t
                 data = [coding.encode_bitmap(rows) if rows.size else None]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([rows.shape[1]], pa.int64()), pa.array([rows.shape[0]], pa.int64()), pa.array(data, pa.binary())], names=[key, "width", "height", "payload"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, width long, height long, payload binary")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, width long, height long, payload binary")
 
 
 def row_runs(rows: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkframe.session import spread
+
 REACH = 2
 #: Most that width and height of comparable bitmaps differ by.
 GATE = 4
@@ -72,7 +74,8 @@ def compare(pairs: DataFrame, most: Column | None = None) -> DataFrame:
                 out[at] = distances(pixels(words[0], one[0], one[1]), pixels(words[1], one[2], one[3]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(out[:, i]) for i in (0, 2, 1)), *(batch.column(c) for c in ("width_a", "height_a"))], names=[*keys, "err", "dx", "dy", "width_a", "height_a"])
 
-    found = pairs.select(*keys, *(F.col(c).cast("long").alias(c) for c in sizes), "words_a", "words_b").mapInArrow(run, f"{kinds}, err long, dx long, dy long, width_a long, height_a long")
+    found = pairs.select(*keys, *(F.col(c).cast("long").alias(c) for c in sizes), "words_a", "words_b")
+    found = found.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, f"{kinds}, err long, dx long, dy long, width_a long, height_a long")
     return (found if most is None else found.where(F.col("err") <= most)).drop("width_a", "height_a")
 
 
@@ -155,4 +158,4 @@ def leaders(found: DataFrame, key: str, order: list[str], share: int, least: int
         return pd.DataFrame({key: pdf[key].to_numpy(), "id": names, "leader": out})
 
     columns = list(dict.fromkeys([key, "id", "width", "height", "words", *order]))
-    return found.select(*columns).groupBy(key).applyInPandas(one, f"`{key}` {kind}, id long, leader long")
+    return spread(found.select(*columns), key).groupBy(key).applyInPandas(one, f"`{key}` {kind}, id long, leader long")

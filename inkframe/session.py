@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch on its way to or from a Python worker, unless a single row is larger.
 BATCH_BYTES = 8 << 20
@@ -36,3 +36,14 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt evenly, or by ``keys``, to as many tasks as a shuffle has, which aren't put together again: for work that takes much longer than its bytes suggest.
+
+    Without keys a table that already has so many partitions stays as it is.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not keys and df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkframe.operators import coding, kernels, matching
+from inkframe.session import spread
 
 MAGIC = bytes([0x97, 0x4A, 0x42, 0x32, 0x0D, 0x0A, 0x1A, 0x0A])
 #: Numbers of the segment types.
@@ -72,7 +73,7 @@ def generic_documents(coded: DataFrame, key: str = "vec_id", per_file: int = FIL
         return pd.DataFrame({"file": [int(pdf["file"].iloc[0])], "ids": [pdf[key].tolist()], "data": [data]})
 
     numbered = coded.select(key, "width", "height", "payload", F.floor(F.col(key) / per_file).alias("file"))
-    return numbered.groupBy("file").applyInPandas(one, "file long, ids array<long>, data binary")
+    return spread(numbered, "file").groupBy("file").applyInPandas(one, "file long, ids array<long>, data binary")
 
 
 def dictionary(symbols: list[np.ndarray]) -> bytes:
@@ -177,7 +178,7 @@ def symbol_documents(symbols: DataFrame, sizes: DataFrame, key: str = "doc_id",
         data = symbol_document(list(zip(pdf["page_width"].tolist(), pdf["page_height"].tolist(), drawn)))
         return pd.DataFrame({"file": [int(pdf["file"].iloc[0])], "ids": [pdf[key].tolist()], "data": [data]})
 
-    return pages.groupBy("file").applyInPandas(one, "file long, ids array<long>, data binary")
+    return spread(pages, "file").groupBy("file").applyInPandas(one, "file long, ids array<long>, data binary")
 
 
 def read_documents(files: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -203,7 +204,7 @@ def dictionaries(t: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]], "symbols": [len(every)], "data": [dictionary(every)]})
 
     kind = t.schema[key].dataType.simpleString()
-    return t.select(key, "width", "height", "words").distinct().groupBy(key).applyInPandas(one, f"`{key}` {kind}, symbols long, data binary")
+    return spread(t.select(key, "width", "height", "words").distinct(), key).groupBy(key).applyInPandas(one, f"`{key}` {kind}, symbols long, data binary")
 
 
 def read_dictionaries(d: DataFrame, key: str) -> DataFrame:
