@@ -31,7 +31,7 @@ from inkframe.llm import kernels as K
 from inkframe.llm.common import Scratch
 
 #: Bytes that a task remembers in one generation, of which it holds two, and what an entry takes besides key and value.
-MEMO_BYTES, _ENTRY = 32 << 20, 192
+MEMO_BYTES, _ENTRY = 12 << 20, 192
 #: Fixed value: the pattern whose matches end wherever those of ``RUN`` do.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -51,8 +51,8 @@ def read_ranks(path: str) -> bytes:
 class Memo(dict):
     """What ``fill`` gives for a key, bounded: what wasn't asked for since the last time it was full is forgotten."""
 
-    def __init__(self, fill: Callable[[str], bytes]) -> None:
-        self.fill, self.room, self.old = fill, MEMO_BYTES, {}
+    def __init__(self, fill: Callable[[str], bytes], most: int = MEMO_BYTES) -> None:
+        self.fill, self.most, self.room, self.old = fill, most, most, {}
 
     def __missing__(self, key):
         out = self.old.get(key)
@@ -62,7 +62,7 @@ class Memo(dict):
         if size < 1024:  # longer runs hardly come again
             self.room -= size + _ENTRY
             if self.room < 0:
-                self.old, self.room = dict(self), MEMO_BYTES
+                self.old, self.room = dict(self), self.most
                 self.clear()
             self[key] = out
         return out

@@ -129,6 +129,7 @@ def _unpacked(batches, columns: list[str], most: int = K.STEP_BYTES):
                 off = np.concatenate([[0], np.cumsum([len(x) for x in held])])
                 yield rest.slice(begin, len(held)), np.frombuffer(b"".join(held), np.uint8), off
                 held, begin, size = [], i + 1, 0
+    K.release()
 
 
 def _find_runs(batches):

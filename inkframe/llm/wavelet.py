@@ -39,6 +39,8 @@ MAGIC = b"WVMX"
 SHARD = 1 << 19
 #: Bits of a plane that are compressed together, with a stored count of the ones before them.
 BLOCK = 1 << 16
+#: Bytes of pieces that a task remembers in one generation.
+MEMO_BYTES = 32 << 20
 #: Blocks that a shard keeps inflated.
 _KEPT = 64
 
@@ -250,7 +252,7 @@ class Encoder:
             t = p.decode() if p.isalpha() else "".join(map(letters.__getitem__, p))
             return array("I", [x.id for x in tokenize(t)]).tobytes()
 
-        self.memo = Memo(piece)
+        self.memo = Memo(piece, MEMO_BYTES)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind)
