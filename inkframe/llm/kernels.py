@@ -68,6 +68,14 @@ def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return out
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place where each distinct hash first stands, number of each hash among the distinct), in order of first place and without a sort."""
+    number = pa.array(hashes).dictionary_encode().indices.to_numpy()
+    one = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+    one[number[::-1]] = np.arange(len(hashes) - 1, -1, -1)
+    return one, number
+
+
 def pair_name(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Identifier of what ``x`` names followed by what ``y`` names."""
     return mix((mix(x) + y) * _ODD)

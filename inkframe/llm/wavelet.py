@@ -41,6 +41,8 @@ SHARD = 1 << 19
 BLOCK = 1 << 16
 #: Bytes of pieces that a task remembers in one generation.
 MEMO_BYTES = 32 << 20
+#: Bytes of text whose distinct pieces are looked up together.
+STEP = 4 << 20
 #: Blocks that a shard keeps inflated.
 _KEPT = 64
 
@@ -267,7 +269,7 @@ class Encoder:
         plain = pc.utf8_lower(pc.if_else(pa.array(odd), "", column.fill_null("").cast(pa.large_string())))
         low, cut = K.flat(plain)
         starts, ends, counts = pieces_of(low, cut, self.classes)
-        _, one, same = np.unique(K.span_hash(low, starts, ends), return_index=True, return_inverse=True)
+        one, same = K.distinct(K.span_hash(low, starts, ends))
         data, get = low.tobytes(), self.memo.__getitem__
         each = [get(data[a:b]) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
         sizes = np.array([len(x) // 4 for x in each], np.int64)
@@ -291,7 +293,7 @@ def _build(shared, end: int, shard: int):
             data = WaveletShard.build(all_ids, np.array(keys, np.int64), sizes, encode.levels).to_bytes()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_tokens", "file"])
 
-        for batch, _, _ in K.steps(batches, "text", 2 << 20):
+        for batch, _, _ in K.steps(batches, "text", STEP):
             for key, one in zip(batch.column("key").to_pylist(), encode(batch.column("text"))):
                 keys.append(-(1 << 63) if key is None else key)
                 ids.append(one)

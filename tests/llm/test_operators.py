@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkframe.llm import bpe, common, decontaminate, jaccard, langid, licenses, quality, queries, suffix_dedup, token_counts, url_filter, wavelet
+from inkframe.llm import kernels as K
 
 SF = "/root/testdata/sf0.001"
 ODD = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n\t"), (10**6 + 3, "a\na\nb\n a\n\na"), (10**6 + 4, "CC BY cc by all rights reserved"), (10**6 + 5, "A b"), (10**6 + 6, "a  B"), (10**6 + 7, "é" * 450), (10**6 + 8, "ab" * 300), (10**6 + 9, "x\x1cy İ Σ 漢字 <|endoftext|> | é <b>")]
@@ -88,6 +89,13 @@ def test_wavelet_tokens(docs, rows, empty):
     assert wavelet.read_documents(wavelet.write_shards(empty, P.path("word_bpe_49k.json"))).count() == 0
 
 
+def test_distinct():
+    x = np.array([7, 3, 7, 2**63, 3, 1], np.uint64)
+    one, number = K.distinct(x)
+    assert one.tolist() == [0, 1, 3, 5] and (x[one][number] == x).all()
+    assert [len(a) for a in K.distinct(x[:0])] == [0, 0]
+
+
 def test_wavelet_lookup():
     ids = np.random.default_rng(0).integers(0, 3000, 5000).astype(np.uint16)
     s = wavelet.WaveletShard.from_bytes(wavelet.WaveletShard.build(ids, np.array([1]), np.array([5000]), 16).to_bytes())
