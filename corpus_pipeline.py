@@ -22,6 +22,8 @@ from inkframe.llm.common import Scratch, numbered, table
 from inkframe.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a passage that two documents may not share.
+PASSAGE = 51
 _held: list[Scratch] = []
 
 
@@ -61,8 +63,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes that occur twice; documents with nothing left go."""
-    out = suffix_dedup.dedup(docs.select(*COLUMNS)).where("n_removed = 0 OR n_removed < n_bytes")
+    """Cuts strings of 400 bytes that occur twice, and passages of over 50 words that stand in two documents; documents without a word left go."""
+    out = suffix_dedup.dedup(docs.select(*COLUMNS), words=PASSAGE).where(r"n_removed = 0 OR text RLIKE r'[^\x20\x09-\x0D]'")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

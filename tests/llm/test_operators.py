@@ -75,6 +75,56 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("words", [51, 7])
+def test_passages_of_words(docs, rows, empty, words):
+    """Bytes of 400-byte strings that occur twice, and of passages of so many words that two rows have."""
+    strings, passages, spans = Counter(), {}, []
+    for i, r in enumerate(rows):
+        b = (r.text or "").encode()
+        strings.update(b[k : k + 400] for k in range(len(b) - 399))
+        w = list(re.finditer(rb"[^\x20\x09-\x0D]+", b))
+        spans.append([(w[k].start(), w[k + words - 1].end(), b" ".join(m.group() for m in w[k : k + words])) for k in range(len(w) - words + 1)])
+        for *_, p in spans[-1]:
+            passages.setdefault(p, set()).add(i)
+    got = {r.doc_id: r for r in suffix_dedup.dedup(docs, words=words).collect()}
+    more = 0
+    for r, own in zip(rows, spans):
+        b = (r.text or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if strings[b[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        before = sum(gone)
+        for begin, end, p in own:
+            if len(passages[p]) > 1:
+                gone[begin:end] = b"\1" * (end - begin)
+        more += sum(gone) - before
+        x = got[r.doc_id]
+        assert (x.n_removed, x.kept_sha256) == (sum(gone), hashlib.sha256(bytes(v for v, g in zip(b, gone) if not g)).hexdigest())
+    assert len(got) == len(rows) and more > 1_000
+    assert suffix_dedup.dedup(empty, words=words).count() == 0
+
+
+def test_passages_under_400_bytes_leave_the_pipeline(spark):
+    import corpus_pipeline as C
+
+    one, two = ([f"{c}{i}" for i in range(51)] for c in "ab")
+    text = {1: f"x {' '.join(one)} y", 2: "z\n" + "\n\t".join(one), 3: f"u {' '.join(one[:50])} v", 4: " ".join([*two, "and", *two]), 5: " ".join(one) + "\n", 6: None, 7: "\n"}
+    d = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in text.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in dict(C.STAGES)["repeated passages"](spark, d, SF).collect()}
+    assert got == {1: ("x  y", 4), 2: ("z\n", 2), 3: (text[3], len(text[3])), 4: (text[4], len(text[4])), 6: (None, None), 7: ("\n", 1)}
+
+
+def test_word_runs_meet_at_segments(monkeypatch):
+    """Runs hold every window of a text once, wherever segments end."""
+    texts = [b" ".join(b"%d" % (i * i % 97) for i in range(n)) for n in (300, 0, 6, 7, 100)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for size in (1 << 20, 33, 8):
+        monkeypatch.setattr(suffix_dedup, "_SEGMENT", size)
+        _, _, doc, begin, end = suffix_dedup.word_runs(np.frombuffer(b"".join(texts), np.uint8), off, 7)
+        assert {k: sum(len(texts[k][a:b].split()) - 6 for d, a, b in zip(doc, begin, end) if d == k) for k in range(5)} == {0: 294, 1: 0, 2: 0, 3: 1, 4: 94}
+
+
 def test_wavelet_tokens(docs, rows, empty):
     from tokenizers import Tokenizer
 
