@@ -4,10 +4,11 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkframe.operators import bitmap, coding, dictionary, halftone, kernels, matching, pages, raster, segment, sequence
+from inkframe.operators import bitmap, coding, dictionary, halftone, kernels, lockstep, matching, pages, raster, segment, sequence
 from inkframe.plans import catalog, documents
 from inkframe.sources import container, headers, pbm
 from inkframe.streaming import templates as streams
@@ -314,3 +315,33 @@ def test_error_diffusion_cell_by_cell():
                 for dy, dx, w in halftone.SPREAD:
                     if y + dy < 5 and 0 <= x + dx < 6:
                         held[y + dy, x + dx] += last * w / 42
+
+
+def test_lockstep_coder_equals_the_scalar_one(monkeypatch):
+    """Bytes and pixels of many pages at once, with streams that take the place of finished ones, wide pages, stripes, and runs of white."""
+    rng, sizes = np.random.default_rng(8), [(1, 1), (1, 300), (40, 1), (30, 70), (3, 900)]
+    some = [rng.random(sizes[i % 5]) < (0, 0.03, 0.5, 0.97, 1)[i % 7 % 5] for i in range(90)]
+    for b in some[::3]:
+        b[:, b.shape[1] // 3 :] = False
+    want = [coding.encode_bitmap(b) for b in some]
+    monkeypatch.setattr(lockstep, "STRIPE", 500)
+    monkeypatch.setattr(lockstep, "WIDE", 400)
+    for few, slots in ((0, 5), (3, 30), (24, None)):
+        monkeypatch.setattr(lockstep, "FEW", few)
+        assert lockstep.encode([lockstep.bitmap_decisions(b) for b in some], 1 << 16, slots) == want
+        got = {}
+        lockstep.decode_bitmaps([(*b.shape[::-1], d) for b, d in zip(some, want)], got.__setitem__, slots)
+        assert sorted(got) == list(range(90)) and all((got[i] == b).all() for i, b in enumerate(some))
+
+
+def test_pages_are_coded_together(spark, monkeypatch):
+    """One batch holds many pages, not a batch for each page."""
+    seen = []
+    monkeypatch.setattr(lockstep, "encode", lambda streams, contexts, f=lockstep.encode: seen.append(len(streams)) or f(streams, contexts))
+    docs = [(i, "ab c\n" * i) for i in range(50)]
+    run = []
+    frame = type("F", (), {"mapInArrow": lambda self, f, kind: run.append(f)})()
+    monkeypatch.setattr(kernels, "spread", lambda df: frame)
+    kernels.encode_pages(spark.createDataFrame(docs, "doc_id long, text string"))
+    out = list(run[0]([pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], names=["doc_id", "text"])]))
+    assert seen == [49] and len(out) == 1 and out[0].num_rows == 50
