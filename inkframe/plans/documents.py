@@ -374,8 +374,7 @@ _GATED = "pair AS (SELECT x.id AS a, y.id AS b, x.width AS wa, x.height AS ha, y
 
 @query(f"WITH {_SYM}, {_GATED}, {_DIST} SELECT x.label, a AS id_a, b AS id_b, err, dx, dy FROM best JOIN s x ON x.id = a WHERE err <= wa * ha // 20")
 def symbol_distance_pairs(spark, sf_dir):
-    s = _symbols(spark, sf_dir)
-    return matching.compare(matching.gated(s, s, ["label"]), matching.five_percent(F.col("width_a"), F.col("height_a")))
+    return matching.compare(_symbols(spark, sf_dir), ["label"], 20)
 
 
 def _templates(spark, sf_dir) -> DataFrame:
@@ -395,7 +394,7 @@ SELECT u.root AS id, usage, pages FROM (SELECT root, CAST(sum(usage) AS BIGINT)
 
 def _united(spark, sf_dir, blocked: bool) -> DataFrame:
     t = _templates(spark, sf_dir)
-    return matching.unite(t.select("id", "usage", "pages"), matching.roots(matching.equal_pairs(t, blocked))).withColumn("pages", _text("pages"))
+    return matching.unite(t.select("id", "usage", "pages"), matching.roots(matching.equal_edges(t, blocked))).withColumn("pages", _text("pages"))
 
 
 @query(_union_sql("abs(x.width - y.width) <= 4 AND abs(x.height - y.height) <= 4"))

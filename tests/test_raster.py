@@ -345,3 +345,67 @@ def test_pages_are_coded_together(spark, monkeypatch):
     kernels.encode_pages(spark.createDataFrame(docs, "doc_id long, text string"))
     out = list(run[0]([pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], names=["doc_id", "text"])]))
     assert seen == [49] and len(out) == 1 and out[0].num_rows == 50
+
+
+def _alike(rng, n):
+    """(page, id, rows) of many sizes, some of them the same but for a shift or a pixel, some wider than a word."""
+    base = [rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.3 for _ in range(8)] + [rng.random((9, 40)) < 0.2 for _ in range(2)]
+    out = []
+    for i in range(n):
+        b = np.roll(base[rng.integers(10)], rng.integers(-1, 2), int(rng.integers(2))).copy()
+        b[rng.integers(b.shape[0]), rng.integers(b.shape[1])] |= rng.random() < 0.5
+        out.append((int(rng.integers(3)), 13 * i % 997, b))
+    return out
+
+
+def _near_sizes(x, b):
+    return abs(x.shape[0] - b.shape[0]) <= 4 and abs(x.shape[1] - b.shape[1]) <= 4
+
+
+@pytest.mark.parametrize("rows", [7, 4096])
+def test_pairs_of_blocks_against_brute_force(spark, rows):
+    """Only what is found leaves a task, whatever the blocks are; ties of shifts as by the definition."""
+    some = _alike(np.random.default_rng(1), 60)
+    want = {}
+    for p, i, a in some:
+        for q, j, b in some:
+            if p == q and i < j and _near_sizes(a, b):
+                want[i, j] = _apart(a, b)
+    t = _bitmaps(spark, some)
+    got = {(r.id_a, r.id_b): (r.err, abs(r.dy) + abs(r.dx), r.dy, r.dx) for r in matching.compare(t, ["page"], rows=rows).collect()}
+    assert got == want
+    size = {i: b.size for _, i, b in some}
+    assert {(r.id_a, r.id_b) for r in matching.compare(t, ["page"], 20, rows=rows).collect()} == {k for k, v in want.items() if v[0] <= size[k[0]] // 20}
+
+
+@pytest.mark.parametrize("rows", [16, 1 << 15])
+@pytest.mark.parametrize("blocked", [False, True])
+def test_edges_of_equal_bitmaps_connect_what_the_pairs_do(spark, rows, blocked):
+    some = _alike(np.random.default_rng(2), 70)
+    own = {i: i for _, i, _ in some}
+    for _, i, a in some:
+        for _, j, b in some:
+            if i < j and (a.shape == b.shape if blocked else _near_sizes(a, b)) and _apart(a, b)[0] == 0:
+                x, y = sorted((own[i], own[j]))
+                own = {k: x if v == y else v for k, v in own.items()}
+    edges = matching.equal_edges(_bitmaps(spark, some), blocked, rows)
+    got = {r.id: r.root for r in matching.roots(edges).collect()}
+    assert {i: got.get(i, i) for i in own} == own and len(set(own.values())) > 1
+    # copies of one bitmap: a forest over each two blocks, not all pairs
+    n = 40
+    assert matching.equal_edges(_bitmaps(spark, [(1, i, some[0][2]) for i in range(n)]), blocked, rows).count() <= n * -(-n // rows) * 2
+
+
+@pytest.mark.parametrize("rows", [5, 1 << 14])
+def test_hamming_pairs_against_brute_force(spark, rows):
+    rnd, words = random.Random(4), []
+    for _ in range(12):
+        w = rnd.getrandbits(64)
+        words += [w, *(w ^ sum(1 << b for b in rnd.sample(range(64), k)) for k in (1, 8, 15, 16))]
+    g = spark.createDataFrame([(7 * i % 101, w >> 32, w & 0xFFFFFFFF) for i, w in enumerate(words)], "vec_id long, hi long, lo long")
+    ids = {7 * i % 101: w for i, w in enumerate(words)}
+    want = {(a, b, (x ^ y).bit_count()) for a, x in ids.items() for b, y in ids.items() if a < b and (x ^ y).bit_count() <= 15}
+    found = dictionary.hamming_pairs(g, rows=rows)
+    assert set(map(tuple, found.collect())) == want and len(want) > 36
+    # no row for each template and value near its own
+    assert "Generate explode([0" not in found._jdf.queryExecution().toString()
