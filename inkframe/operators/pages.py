@@ -7,20 +7,25 @@ Components are numbered by their first pixel in row order, ``y << 24 | x``, and
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkframe.operators import segment
+from inkframe.operators import blocks
 
 #: Letters that are black where a text stands for a page of separate marks.
 INK = "aeo"
 #: Sides beyond which a symbol is left out.
 OVERSIZE = 10_000
+#: Characters of pages that a task works on at once, unless a single page has more.
+CHARS = 1 << 18
+#: Lines between two pages that are worked on together, more than a dot may be above its base.
+APART = 64
 
 
 def _page_runs(texts: list[str | None], ink: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -52,9 +57,9 @@ def runs(docs: DataFrame, ink: str | None = INK, key: str = "doc_id", text: str
     kind, black = docs.schema[key].dataType.simpleString(), _ink(ink)
 
     def run(batches):
-        for batch in batches:
-            page, y, x0, x1 = _page_runs(batch.column(1).to_pylist(), black)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page)), *(pa.array(v.astype(np.int64)) for v in (y, x0, x1))], names=[key, "y", "x0", "x1"])
+        for keys, texts in _some(batches):
+            page, y, x0, x1 = _page_runs(texts, black)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(page)), *(pa.array(v.astype(np.int64)) for v in (y, x0, x1))], names=[key, "y", "x0", "x1"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, y long, x0 long, x1 long")
 
@@ -80,121 +85,296 @@ def label(line: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
 
 
 def components(docs: DataFrame, ink: str | None = INK, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, comp, x, y, width, height, n, runs) of the components of each page; runs are structs of y, x0 and x1. No exchange."""
-    kind, black = docs.schema[key].dataType.simpleString(), _ink(ink)
-
-    def run(batches):
-        for batch in batches:
-            page, y, x0, x1 = _page_runs(batch.column(1).to_pylist(), black)
-            if not len(page):
-                continue
-            # a blank line between two pages
-            line = y + np.concatenate([[0], np.cumsum(np.where(np.diff(page) > 0, y[:-1] + 2, 0))])
-            first, where, count = np.unique(label(line, x0, x1), return_inverse=True, return_counts=True)
-            order = np.argsort(where, kind="stable")
-            cut = np.cumsum(count) - count
-            fold = lambda f, v: f.reduceat(v[order], cut)
-            left, right, top, bottom, n = fold(np.minimum, x0), fold(np.maximum, x1), fold(np.minimum, y), fold(np.maximum, y), fold(np.add, x1 - x0 + 1)
-            each = pa.StructArray.from_arrays([pa.array(v[order].astype(np.int64)) for v in (y, x0, x1)], ["y", "x0", "x1"])
-            held = pa.ListArray.from_arrays(pa.array(np.append(cut, len(order)).astype(np.int32)), each)
-            columns = (y[first] << 24 | x0[first], left, top, right - left + 1, bottom - top + 1, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page[first])), *(pa.array(c.astype(np.int64)) for c in columns), held], names=[key, "comp", "x", "y", "width", "height", "n", "runs"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, comp long, x long, y long, width long, height long, n long, runs array<struct<y:long,x0:long,x1:long>>")
-
-
-def least_size(comp: DataFrame, pixels: int) -> DataFrame:
-    return comp.where(F.col("n") >= pixels)
-
-
-def merge_dots(comp: DataFrame, dots: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, comp, x, y, width, height, n, runs) of the components of each page; runs are structs of y, x0 and x1."""
+    return steps(docs, "components", ink=ink, key=key, text=text)
+
+
+class Sheets:
+    """Some pages together, as arrays: runs in row order and components, from end to end in numpy. All of it is by page, so it needs no exchange."""
+
+    def __init__(self, texts: list[str | None], ink: Callable[[np.ndarray], np.ndarray]) -> None:
+        self.count = len(texts)
+        self.page, self.y, self.x0, self.x1 = _page_runs(texts, ink)
+        high = np.zeros(self.count, np.int64)
+        np.maximum.at(high, self.page, self.y)
+        #: a number for the first line of each page
+        self.top = np.concatenate([[0], np.cumsum(high + APART)])[:-1]
+        self.line = self.y + self.top[self.page]
+        self.wide = int(self.x1.max(initial=0)) + 3
+        self.texts = texts
+
+    def components(self) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Components in row order of their first runs, runs in order of components, and where each component's begin."""
+        if not len(self.page):
+            return {k: np.zeros(0, np.int64) for k in ("page", "comp", "x", "y", "width", "height", "n")}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        y, x0, x1 = self.y, self.x0, self.x1
+        first, where, count = np.unique(label(self.line, x0, x1), return_inverse=True, return_counts=True)
+        order = np.argsort(where, kind="stable")
+        cut = np.cumsum(count) - count
+        fold = lambda f, v: f.reduceat(v[order], cut)
+        left, right, top, bottom, n = fold(np.minimum, x0), fold(np.maximum, x1), fold(np.minimum, y), fold(np.maximum, y), fold(np.add, x1 - x0 + 1)
+        return {"page": self.page[first], "comp": y[first] << 24 | x0[first], "x": left, "y": top, "width": right - left + 1, "height": bottom - top + 1, "n": n}, order, cut
+
+    def hits(self, b: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(box, run) of every run inside a box, in order of boxes and then in row order."""
+        owner = np.repeat(np.arange(len(b["page"])), b["height"])
+        line = self.top[b["page"][owner]] + b["y"][owner] + _counted(b["height"])
+        left, right = b["x"][owner], b["x"][owner] + b["width"][owner] - 1
+        # a box may leave its line's last run to the right, not the range of keys of a line
+        low = np.searchsorted(self.line * self.wide + self.x1, line * self.wide + np.minimum(left, self.wide - 1))
+        high = np.searchsorted(self.line * self.wide + self.x0, line * self.wide + np.minimum(right, self.wide - 1), side="right")
+        size = np.maximum(high - low, 0)
+        return np.repeat(owner, size), np.repeat(low, size) + _counted(size)
+
+
+def _counted(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _of(b: dict, at: np.ndarray) -> dict:
+    return {k: v[at] for k, v in b.items()}
+
+
+def _upper_median(page: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Of each row its page's element floor(n / 2) from 0 of the sorted values."""
+    order = np.lexsort((value, page))
+    _, where, count = np.unique(page, return_inverse=True, return_counts=True)
+    return value[order][np.cumsum(count) - count + count // 2][where]
+
+
+def is_dot(c: dict, size_ratio: float, height_ratio: float) -> np.ndarray:
+    """Components small against their page's upper medians, and about as wide as high."""
+    aspect = c["width"] / c["height"]
+    small = (c["n"] <= np.floor(_upper_median(c["page"], c["n"]) * size_ratio)) & (c["height"] <= np.floor(_upper_median(c["page"], c["height"]) * height_ratio))
+    return small & (aspect >= 0.5) & (aspect <= 2)
+
+
+def reach(c: dict, pages: int, first: int = 10) -> np.ndarray:
+    """Of each page how far below a dot its base may begin: from mean and deviation of the first components' heights, within 5 and 30."""
+    order = np.lexsort((c["comp"], c["x"], c["y"], c["page"]))
+    page = c["page"][order]
+    top = _counted(np.bincount(page, minlength=pages)) < first
+    page, height = page[top], c["height"][order][top]
+    n = np.maximum(np.bincount(page, minlength=pages), 1)
+    mean = np.bincount(page, height, pages) / n
+    deviation = np.sqrt(np.bincount(page, (height - mean[page]) ** 2, pages) / n)
+    return np.clip(np.floor(np.round(0.6 * mean + 0.5 * deviation, 9)), 5, 30).astype(np.int64)
+
+
+def merge_dots(s: Sheets, c: dict, dot: np.ndarray) -> dict:
     """The components with every dot added to its base: the nearest component below, within the page's merge distance, that isn't a dot itself.
 
-    Boxes are united, pixels added and runs put together; dots with a base are gone.
+    Boxes are united and pixels added; dots with a base are gone. Rows below a dot are searched one after the other, for all dots without a base yet.
     """
-    distance = segment.merge_distance(comp, key).select(key, "distance")
-    d = dots.select(key, F.col("comp").alias("dot"), (F.col("x") + F.floor(F.col("width") / 2)).alias("centre"), (F.col("y") + F.col("height")).alias("bottom")).join(distance, key)
-    base = comp.join(dots.select(key, "comp"), [key, "comp"], "left_anti").select(key, F.col("comp").alias("base"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("width").alias("bw"))
-    gap = F.col("by") - F.col("bottom")
-    near = d.join(base, key).where((gap > 0) & (gap <= F.col("distance")) & F.col("centre").between(F.col("bx") - 1, F.col("bx") + F.col("bw") + 1))
-    best = near.groupBy(key, "dot").agg(F.min(F.struct(gap.alias("gap"), "base")).alias("m")).select(key, F.col("dot").alias("comp"), F.col("m.base").alias("base"))
-    named = comp.join(best, [key, "comp"], "left").withColumn("base", F.coalesce("base", "comp"))
-    right, bottom = F.max(F.col("x") + F.col("width")), F.max(F.col("y") + F.col("height"))
-    every = F.flatten(F.collect_list("runs")).alias("runs") if "runs" in comp.columns else None
-    out = named.groupBy(key, F.col("base").alias("comp")).agg(F.min("x").alias("x"), F.min("y").alias("y"), right.alias("r"), bottom.alias("b"), F.sum("n").alias("n"), F.count("*").alias("parts"), *([every] if every is not None else []))
-    return out.select(key, "comp", "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("b") - F.col("y")).alias("height"), "n", "parts", *(["runs"] if every is not None else []))
-
-
-def wide(comp: DataFrame, key: str = "doc_id", last: int = 10, factor: float = 1.5) -> DataFrame:
-    """The components with ``mean_before``, the mean width of the ``last`` before them on the page (1 where there is none), and ``is_wide``."""
-    w = Window.partitionBy(key).orderBy("y", "x", "comp").rowsBetween(-last, -1)
-    r = comp.withColumn("mean_before", F.round(F.coalesce(F.avg("width").over(w), F.lit(1.0)), 6))
-    return r.withColumn("is_wide", F.col("width") > factor * F.col("mean_before"))
-
-
-def cuts(wide_ones: DataFrame, page_runs: DataFrame, key: str = "doc_id", most_black: float = 0.0, side: int = 5) -> DataFrame:
-    """(key, comp, cut): where wide components are cut in two, in columns from their left: the middle of their widest gap.
+    d, base = np.flatnonzero(dot), np.flatnonzero(~dot)
+    to = np.arange(len(dot))
+    if len(d) and len(base):
+        wide = s.wide + 1
+        base = base[np.lexsort((c["x"][base], c["y"][base], c["page"][base]))]
+        key = (s.top[c["page"][base]] + c["y"][base]) * wide + c["x"][base]
+        widest = np.zeros(s.count, np.int64)
+        np.maximum.at(widest, c["page"][base], c["width"][base])
+        most = reach(c, s.count)[c["page"][d]]
+        centre, under = c["x"][d] + c["width"][d] // 2, s.top[c["page"][d]] + c["y"][d] + c["height"][d]
+        for gap in range(1, int(most.max()) + 1):
+            within = most >= gap
+            d, most, centre, under = d[within], most[within], centre[within], under[within]
+            row = (under + gap) * wide
+            low = np.searchsorted(key, row + np.maximum(centre - 1 - widest[c["page"][d]], 0))
+            size = np.searchsorted(key, row + np.minimum(centre + 1, wide - 1), side="right") - low
+            owner, at = np.repeat(np.arange(len(d)), size), base[np.repeat(low, size) + _counted(size)]
+            fits = centre[owner] <= c["x"][at] + c["width"][at] + 1
+            owner, at = owner[fits], at[fits]
+            if len(owner):
+                best = np.full(len(d), np.iinfo(np.int64).max)
+                np.minimum.at(best, owner, c["comp"][at])
+                chosen = c["comp"][at] == best[owner]
+                to[d[owner[chosen]]] = at[chosen]
+                free = np.ones(len(d), bool)
+                free[owner] = False
+                d, most, centre, under = d[free], most[free], centre[free], under[free]
+            if not len(d):
+                break
+    order = np.argsort(to, kind="stable")
+    cut = np.flatnonzero(np.diff(to[order], prepend=-1))
+    if not len(cut):
+        return c | {"parts": np.zeros(0, np.int64)}
+    fold = lambda f, v: f.reduceat(v[order], cut)
+    left, top = fold(np.minimum, c["x"]), fold(np.minimum, c["y"])
+    own = to[order][cut]
+    return {"page": c["page"][own], "comp": c["comp"][own], "x": left, "y": top, "width": fold(np.maximum, c["x"] + c["width"]) - left, "height": fold(np.maximum, c["y"] + c["height"]) - top, "n": fold(np.add, c["n"]), "parts": np.diff(np.append(cut, len(order)))}
+
+
+def wide(c: dict, last: int = 10, factor: float = 1.5) -> dict:
+    """Of the components those over ``factor`` times as wide as ``mean_before``, the mean width of the ``last`` before them on the page (1 where there is none), and their places."""
+    order = np.lexsort((c["comp"], c["x"], c["y"], c["page"]))
+    width = c["width"][order]
+    _, count = np.unique(c["page"], return_counts=True)
+    before = np.minimum(_counted(count), last)
+    total = np.concatenate([[0], np.cumsum(width)])
+    here = np.arange(len(order))
+    mean = np.where(before > 0, np.round((total[here] - total[here - before]) / np.maximum(before, 1), 6), 1.0)
+    hit = width > factor * mean
+    return _of(c, order[hit]) | {"mean_before": mean[hit], "at": order[hit]}
+
+
+def cuts(s: Sheets, b: dict, most_black: float = 0.0, side: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(box, cut): where boxes are cut in two, in columns from their left: the middle of their widest gap.
 
     A gap is a run of columns of the page inside the box, none at either end, with black pixels for at most ``most_black`` of the height;
     of equally wide ones the leftmost counts. Both halves need ``side`` pixels, else there is no cut.
     """
-    b = wide_ones.select(key, "comp", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("width").alias("bw"), F.col("height").alias("bh"))
-    inside = F.col("y").between(F.col("by"), F.col("by") + F.col("bh") - 1) & (F.col("x1") >= F.col("bx")) & (F.col("x0") < F.col("bx") + F.col("bw"))
-    hit = b.join(page_runs, key).where(inside)
-    column = F.explode(F.sequence(F.greatest(F.col("x0"), F.col("bx")) - F.col("bx"), F.least(F.col("x1"), F.col("bx") + F.col("bw") - 1) - F.col("bx")))
-    black = hit.select(key, "comp", "bw", "bh", column.alias("c")).groupBy(key, "comp", "bw", "bh", "c").agg(F.count("*").alias("k"))
-    full = black.where(F.col("k") > most_black * F.col("bh"))
-    w = Window.partitionBy(key, "comp").orderBy("c")
-    gaps = full.select(key, "comp", "bw", F.col("c").alias("before"), (F.lead("c").over(w) - F.col("c") - 1).alias("gap")).where("gap > 0")
-    best = gaps.groupBy(key, "comp", "bw").agg(F.max(F.struct("gap", (-F.col("before")).alias("minus"))).alias("m"))
-    cut = (1 - F.col("m.minus") + F.floor(F.col("m.gap") / 2)).cast("long")
-    return best.select(key, "comp", "bw", cut.alias("cut")).where((F.col("cut") >= side) & (F.col("bw") - F.col("cut") >= side)).drop("bw")
-
-
-def split(comp: DataFrame, at: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, comp, part, x, y, width, height): one box for each component, two for one that is cut."""
-    j = comp.select(key, "comp", "x", "y", "width", "height").join(at, [key, "comp"], "left")
-    box = lambda part, x, width: F.struct(F.lit(part).cast("long").alias("part"), x.alias("x"), width.alias("width"))
-    one = F.array(box(0, F.col("x"), F.coalesce("cut", "width")))
-    both = F.when(F.col("cut").isNotNull(), F.concat(one, F.array(box(1, F.col("x") + F.col("cut"), F.col("width") - F.col("cut"))))).otherwise(one)
-    return j.select(key, "comp", "y", "height", F.explode(both).alias("b")).select(key, "comp", "b.part", "b.x", "y", "b.width", "height")
+    room = b["width"] + 1
+    start = np.cumsum(room) - room
+    box, run = s.hits(b)
+    black = np.zeros(int(room.sum()) + 1, np.int64)
+    np.add.at(black, start[box] + np.maximum(s.x0[run] - b["x"][box], 0), 1)
+    np.add.at(black, start[box] + np.minimum(s.x1[run] - b["x"][box] + 1, b["width"][box]), -1)
+    owner = np.repeat(np.arange(len(room)), room)
+    column = _counted(room)
+    full = np.flatnonzero((np.cumsum(black[:-1]) > most_black * b["height"][owner]) & (column < b["width"][owner]))
+    owner, column = owner[full], column[full]
+    gap = np.diff(column) - 1
+    at = np.flatnonzero((np.diff(owner) == 0) & (gap > 0))
+    owner, before, gap = owner[at], column[at], gap[at]
+    order = np.lexsort((before, -gap, owner))
+    best = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+    owner, cut = owner[best], before[best] + 1 + gap[best] // 2
+    good = (cut >= side) & (b["width"][owner] - cut >= side)
+    return owner[good], cut[good]
+
+
+def split(c: dict, comp_at: np.ndarray, cut: np.ndarray) -> dict:
+    """One box for each component, two for one of ``comp_at``, which is cut."""
+    names = ("page", "comp", "x", "y", "width", "height")
+    first, second = ({k: v.copy() for k, v in c.items() if k in names}, {k: c[k][comp_at] for k in names})
+    first["width"][comp_at] = cut
+    second["x"], second["width"] = second["x"] + cut, second["width"] - cut
+    part = np.concatenate([np.zeros(len(c["page"]), np.int64), np.ones(len(cut), np.int64)])
+    return {k: np.concatenate([first[k], second[k]]) for k in names} | {"part": part}
+
+
+def symbols(s: Sheets, b: dict) -> tuple[dict, np.ndarray, np.ndarray]:
+    """What a page shows in each box, cut to its black pixels, blank ones left out; the words of all, and where those of each begin and end.
 
+    Words hold 32 pixels, rows padded, leftmost highest.
+    """
+    box, run = s.hits(b)
+    if not len(box):
+        return _of(b, np.zeros(0, np.int64)), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    x0, x1, y = np.maximum(s.x0[run], b["x"][box]), np.minimum(s.x1[run], b["x"][box] + b["width"][box] - 1), s.y[run]
+    cut = np.flatnonzero(np.diff(box, prepend=-1))
+    left, right, top, bottom = np.minimum.reduceat(x0, cut), np.maximum.reduceat(x1, cut), np.minimum.reduceat(y, cut), np.maximum.reduceat(y, cut)
+    w, h = right - left + 1, bottom - top + 1
+    owner = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(box))))
+    stride = -(-w // 32)
+    start = np.concatenate([[0], np.cumsum(stride * h)])
+    row = (start[owner] + (y - top[owner]) * stride[owner]) * 32 - left[owner]
+    bits = np.zeros(start[-1] * 32 + 1, np.int32)
+    # runs of one box don't overlap, so marks of beginning and end add up to 0 or 1
+    np.add.at(bits, row + x0, 1)
+    np.add.at(bits, row + x1 + 1, -1)
+    words = np.packbits(np.cumsum(bits[:-1]).astype(bool)).view(">u4").astype(np.int64)
+    return _of(b, box[cut]) | {"x": left, "y": top, "width": w, "height": h}, words, start
+
+
+def _accepted(s: Sheets, found: dict) -> np.ndarray:
+    """Places of the symbols of pages that are worth a dictionary: not those whose one symbol is at (0, 0) and covers all but two pixels of each side of the page."""
+    count = np.bincount(found["page"], minlength=s.count)[found["page"]]
+    whole = np.flatnonzero((count == 1) & (found["x"] == 0) & (found["y"] == 0))
+    keep = np.ones(len(count), bool)
+    for i in whole.tolist():
+        lines = (s.texts[found["page"][i]] or "").split("\n")
+        keep[i] = not (found["width"][i] >= max(map(len, lines)) - 2 and found["height"][i] >= len(lines) - 2)
+    return np.flatnonzero(keep)
+
+
+#: What the steps from page to symbol give, besides the page.
+STAGES = {
+    "components": "comp x y width height n runs",
+    "boxes": "comp x y width height n",
+    "least": "comp x y width height n",
+    "dots": "comp x y width height n",
+    "merged": "comp x y width height n parts",
+    "wide": "comp x y width height n mean_before",
+    "parts": "comp part x y width height",
+    "symbols": "comp part x y width height words",
+    "extracted": "comp part x y width height words",
+    "shapes": "comp part x y width height words",
+}
+_KINDS = {"runs": "array<struct<y:long,x0:long,x1:long>>", "words": "array<long>", "mean_before": "double"}
+
+
+def steps(docs: DataFrame, stage: str, pixels: int = 3, size_ratio: float = 0.5, height_ratio: float = 0.5, most_black: float = 0.0, side: int = 5, ink: str | None = INK, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ...) of one of ``STAGES``: components, those of ``pixels`` or more, dots, components with dots merged into bases, wide ones, boxes with wide ones split, symbols cut to their
+    pixels, these without oversize and whole-page ones (extracted), and the symbols of all components as they are (shapes).
+
+    One pass over the pages, some at a time: no exchange, and as much memory as ``CHARS`` characters or one page take.
+    """
+    kind, black, names = docs.schema[key].dataType.simpleString(), _ink(ink), STAGES[stage].split()
+
+    def worked(s: Sheets) -> dict:
+        c, order, cut = s.components()
+        if stage == "components":
+            each = pa.StructArray.from_arrays([pa.array(v[order].astype(np.int64)) for v in (s.y, s.x0, s.x1)], ["y", "x0", "x1"])
+            return c | {"runs": pa.ListArray.from_arrays(pa.array(np.append(cut, len(order)).astype(np.int32)), each)}
+        if stage == "boxes":
+            return c
+        if stage == "shapes":
+            return listed(*symbols(s, c | {"part": np.zeros(len(c["page"]), np.int64)}))
+        c = _of(c, c["n"] >= pixels)
+        if stage == "least" or not len(c["page"]):
+            return c
+        dot = is_dot(c, size_ratio, height_ratio)
+        if stage == "dots":
+            return _of(c, dot)
+        c = merge_dots(s, c, dot)
+        if stage == "merged":
+            return c
+        hit = wide(c)
+        if stage == "wide":
+            return hit
+        box, cut = cuts(s, hit, most_black, side)
+        boxes = split(c, hit["at"][box], cut)
+        if stage == "parts":
+            return boxes
+        if stage == "extracted":
+            boxes = _of(boxes, (boxes["width"] <= OVERSIZE) & (boxes["height"] <= OVERSIZE))
+        found, words, start = symbols(s, boxes)
+        found = listed(found, words, start)
+        if stage == "symbols":
+            return found
+        at = _accepted(s, found)
+        return {k: v.take(pa.array(at)) if isinstance(v, pa.Array) else v[at] for k, v in found.items()}
+
+    def listed(found: dict, words: np.ndarray, start: np.ndarray) -> dict:
+        return found | {"words": pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(words))}
 
-def usable(boxes: DataFrame) -> DataFrame:
-    """Boxes with both sides from 1 to ``OVERSIZE``."""
-    return boxes.where(F.col("width").between(1, OVERSIZE) & F.col("height").between(1, OVERSIZE))
+    def run(batches):
+        for keys, texts in _some(batches):
+            out = worked(Sheets(texts, black))
+            if len(out["page"]):
+                held = [v if isinstance(v, pa.Array) else pa.array(v if v.dtype == np.float64 else v.astype(np.int64)) for v in (out[c] for c in names)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(out["page"])), *held], names=[key, *names])
 
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} {_KINDS.get(c, 'long')}" for c in names))
 
-def symbols(boxes: DataFrame, page_runs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, comp, part, x, y, width, height, words): what a page shows in each box, cut to its black pixels; blank ones are left out.
 
-    Words hold 32 pixels, rows padded, leftmost highest.
-    """
-    b = boxes.select(key, "comp", "part", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("width").alias("bw"), F.col("height").alias("bh"))
-    inside = F.col("y").between(F.col("by"), F.col("by") + F.col("bh") - 1) & (F.col("x1") >= F.col("bx")) & (F.col("x0") < F.col("bx") + F.col("bw"))
-    hit = b.join(page_runs, key).where(inside).select(key, "comp", "part", "y", F.greatest("x0", "bx").alias("x0"), F.least("x1", F.col("bx") + F.col("bw") - 1).alias("x1"))
-    kind = page_runs.schema[key].dataType.simpleString()
-    g = hit.groupBy(key, "comp", "part").agg(F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"), F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
-    names = [key, "comp", "part", "x", "y", "width", "height"]
+def _some(batches) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Keys and texts of batches, ``CHARS`` characters or one page at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 1)
+        cut = [c for c in np.flatnonzero(np.diff(size // CHARS, prepend=0)).tolist() if c]
+        for low, high in zip([0, *cut], [*cut, batch.num_rows]):
+            yield batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low).to_pylist()
 
-    def run(batches):
-        for batch in batches:
-            x, y, w, h = (batch.column(c).to_numpy() for c in ("x", "y", "width", "height"))
-            held = batch.column("runs")
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
-            ry, r0, r1 = (held.flatten().field(i).to_numpy() for i in range(3))
-            stride = -(-w // 32)
-            start = np.concatenate([[0], np.cumsum(stride * h)])
-            row = (start[owner] + (ry - y[owner]) * stride[owner]) * 32
-            bits = np.zeros(start[-1] * 32 + 1, np.int32)
-            # runs of one box don't overlap, so marks of beginning and end add up to 0 or 1
-            np.add.at(bits, row + r0 - x[owner], 1)
-            np.add.at(bits, row + r1 - x[owner] + 1, -1)
-            words = np.packbits(np.cumsum(bits[:-1]).astype(bool)).view(">u4").astype(np.int64)
-            out = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(words))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out], names=[*names, "words"])
-
-    return g.select(*names, "runs").mapInArrow(run, f"`{key}` {kind}, comp long, part long, x long, y long, width long, height long, words array<long>")
+
+def usable(boxes: DataFrame) -> DataFrame:
+    """Boxes with both sides from 1 to ``OVERSIZE``."""
+    return boxes.where(F.col("width").between(1, OVERSIZE) & F.col("height").between(1, OVERSIZE))
 
 
 def accept(found: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -212,11 +392,7 @@ def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def extract(docs: DataFrame, pixels: int = 3, size_ratio: float = 0.5, height_ratio: float = 0.5, most_black: float = 0.0, side: int = 5, key: str = "doc_id") -> DataFrame:
     """Symbols of pages from end to end: components, least size, dots merged into bases, wide ones split, cut to their pixels, oversize and whole-page ones left out."""
-    page_runs = runs(docs, key=key)
-    comp = least_size(components(docs, key=key).drop("runs"), pixels)
-    merged = merge_dots(comp, segment.dots(comp, key, size_ratio, height_ratio), key)
-    at = cuts(wide(merged, key).where("is_wide"), page_runs, key, most_black, side)
-    return accept(symbols(usable(split(merged, at, key)), page_runs, key), sizes(docs, key), key)
+    return steps(docs, "extracted", pixels, size_ratio, height_ratio, most_black, side, key=key)
 
 
 def templates(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -226,8 +402,10 @@ def templates(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     first = F.min(F.struct(key, "y", "x", "part", "comp"))
     t = found.groupBy("width", "height", "words").agg(F.count("*").alias("usage"), F.array_sort(F.collect_set(key)).alias("pages"), first.alias("f"))
-    n = found.agg(F.countDistinct(key).alias("all"))  # one row
-    scope = F.when((F.col("usage") > 1) | (F.col("all") == 1), "global").otherwise("local")
+    # kept, as it is read again for the number of pages, and in dictionary_ids for positions
+    t = blocks.kept(t)
+    n = t.agg((F.min(F.element_at("pages", 1)) == F.max(F.element_at("pages", -1))).alias("single"))  # one row
+    scope = F.when((F.col("usage") > 1) | F.col("single"), "global").otherwise("local")
     return t.join(F.broadcast(n)).select(F.col(f"f.{key}").alias("first_page"), F.col("f.y").alias("first_y"), F.col("f.x").alias("first_x"), "width", "height", "words", "usage", "pages", scope.alias("scope"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkframe.operators import bitmap, coding, dictionary, halftone, kernels, matching, pages, raster, segment
+from inkframe.operators import bitmap, coding, dictionary, halftone, kernels, matching, pages, raster
 from inkframe.plans.catalog import _BLOCK, _CELL, _G, _PX, _RUN, _black, _blocks, _contexts, _glyphs, _instances, _t, query
 from inkframe.sources import container, headers, pbm
 
@@ -258,7 +258,7 @@ _C = "doc_id, comp, x, y, width, height, n"
 
 @query(f"WITH {_PAGE} SELECT {_C} FROM page")
 def page_components(spark, sf_dir):
-    return pages.components(_docs(spark, sf_dir)).drop("runs")
+    return pages.steps(_docs(spark, sf_dir), "boxes")
 
 
 @query(f"WITH {_PAGE} SELECT m.doc_id, m.comp, string_agg(y || ':' || x0 || '-' || x1, ' ' ORDER BY y, x0) AS runs FROM member m JOIN r USING (doc_id, id) GROUP BY m.doc_id, m.comp")
@@ -267,53 +267,38 @@ def page_component_runs(spark, sf_dir):
     return pages.components(_docs(spark, sf_dir)).select("doc_id", "comp", F.array_join(one, " ").alias("runs"))
 
 
-def _comps(spark, sf_dir) -> DataFrame:
-    return pages.least_size(pages.components(_docs(spark, sf_dir)).drop("runs"), PIXELS)
-
-
-def _dots(comp: DataFrame) -> DataFrame:
-    return segment.dots(comp, "doc_id", 1.0, 1.0)
+def _steps(spark, sf_dir, stage: str) -> DataFrame:
+    return pages.steps(_docs(spark, sf_dir), stage, PIXELS, 1.0, 1.0, 0.25, 2)
 
 
 @query(f"WITH {_PAGE} SELECT {_C} FROM page WHERE n >= {PIXELS}")
 def page_least_size(spark, sf_dir):
-    return _comps(spark, sf_dir)
+    return _steps(spark, sf_dir, "least")
 
 
 @query(f"WITH {_DOTS} SELECT {_C} FROM dot")
 def page_dots(spark, sf_dir):
-    return _dots(_comps(spark, sf_dir))
-
-
-def _merged(spark, sf_dir) -> DataFrame:
-    comp = _comps(spark, sf_dir)
-    return pages.merge_dots(comp, _dots(comp))
+    return _steps(spark, sf_dir, "dots")
 
 
 @query(f"WITH {_DOTS} SELECT {_C}, parts FROM merged")
 def page_dot_merges(spark, sf_dir):
-    return _merged(spark, sf_dir)
+    return _steps(spark, sf_dir, "merged")
 
 
 @query(f"WITH {_WIDE} SELECT {_C}, mean_before FROM wide")
 def wide_glyph_rolling(spark, sf_dir):
-    return pages.wide(_merged(spark, sf_dir)).where("is_wide").drop("parts", "is_wide")
-
-
-def _parts(spark, sf_dir) -> DataFrame:
-    merged = _merged(spark, sf_dir)
-    cut = pages.cuts(pages.wide(merged).where("is_wide"), pages.runs(_docs(spark, sf_dir)), most_black=0.25, side=2)
-    return pages.split(merged, cut)
+    return _steps(spark, sf_dir, "wide")
 
 
 @query(f"WITH {_WIDE} SELECT doc_id, comp, CAST(part AS BIGINT) AS part, x, y, width, height FROM part")
 def page_wide_splits(spark, sf_dir):
-    return _parts(spark, sf_dir)
+    return _steps(spark, sf_dir, "parts")
 
 
 @query(f"WITH {_SYMBOL} SELECT doc_id, comp, CAST(part AS BIGINT) AS part, x, y, width, height, array_to_string(words, ',') AS words FROM allsym")
 def page_segment_symbols(spark, sf_dir):
-    return pages.symbols(_parts(spark, sf_dir), pages.runs(_docs(spark, sf_dir))).withColumn("words", _text("words"))
+    return _steps(spark, sf_dir, "symbols").withColumn("words", _text("words"))
 
 
 @query("SELECT p_partkey, CAST(p_size - 3 AS BIGINT) AS width, p_partkey * 7 AS height FROM part WHERE p_size - 3 BETWEEN 1 AND 10000 AND p_partkey * 7 BETWEEN 1 AND 10000")
@@ -490,11 +475,8 @@ def dictionary_round_trip(spark, sf_dir):
 def symbol_document_round_trip(spark, sf_dir):
     """Texts as pages of files in symbol mode, global and local dictionaries and text regions, and the files read again: every component is a symbol."""
     docs = _docs(spark, sf_dir).where("text IS NOT NULL")
-    found, page_runs = pages.components(docs).drop("runs"), pages.runs(docs)
-    none = found.select("doc_id", "comp").limit(0).withColumn("cut", F.lit(0).cast("long"))
-    symbols = pages.symbols(pages.split(found, none), page_runs)
     # parts of other components inside a box are drawn twice
-    return container.read_documents(container.symbol_documents(symbols, pages.sizes(docs)))
+    return container.read_documents(container.symbol_documents(pages.steps(docs, "shapes"), pages.sizes(docs)))
 
 
 @query(f"""WITH {_PX}, near AS (SELECT dy, dx, k FROM (SELECT unnest([-2, -2, -2, -2, -2, -1, -1, -1, -1, -1, -1, -1, 0, 0, 0, 0]) AS dy, unnest([-2, -1, 0, 1, 2, -3, -2, -1, 0, 1, 2, 3, -4, -3, -2, -1]) AS dx, unnest(range(15, -1, -1)) AS k)),

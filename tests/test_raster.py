@@ -409,3 +409,29 @@ def test_hamming_pairs_against_brute_force(spark, rows):
     assert set(map(tuple, found.collect())) == want and len(want) > 36
     # no row for each template and value near its own
     assert "Generate explode([0" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("stage", sorted(pages.STAGES))
+def test_steps_of_pages(spark, monkeypatch, stage):
+    """One pass without an exchange, and the same whatever pages are worked on together; blank, empty and missing pages have nothing."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    docs[5:5] = [(-1, None), (-2, ""), (-3, "\n\n"), (-4, "xyz \n "), (-5, "a\n" * 40), (-6, "o" * 3000), (-7, "ooo\n\n\n\nooooooooo  \n ao ea\n" * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = pages.steps(df, stage, 1, 1.0, 1.0, 0.25, 2)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    names = ["doc_id", *pages.STAGES[stage].split()]
+    assert found.columns == names
+    key = lambda r: tuple(map(str, r))
+    want = sorted(key(r.asDict(True)[n] for n in names) for r in found.collect())
+    assert want and not {str(i) for i in (-1, -2, -3, -4)} & {r[0] for r in want}
+    # in this process, page by page and all together
+    run, sizes = [], []
+    frame = type("F", (), {"schema": df.schema, "select": lambda self, *a: self, "mapInArrow": lambda self, f, kind: run.append(f)})()
+    pages.steps(frame, stage, 1, 1.0, 1.0, 0.25, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], names=["doc_id", "text"])
+    for chars in (1, 1 << 30):
+        monkeypatch.setattr(pages, "CHARS", chars)
+        out = list(run[0]([batch]))
+        sizes.append(len(out))
+        assert sorted(key(r[n] for n in names) for b in out for r in b.to_pylist()) == want
+    assert sizes[0] > sizes[1] == 1
