@@ -455,3 +455,33 @@ def test_leaders_of_many_at_once(monkeypatch):
         calls.clear()
         assert matching._led(150, sizes, 20, 0, first, most).tolist() == want
     assert 12 < len(leading) < 140 and len(calls) <= len(sizes) ** 2
+
+
+def test_text_regions_in_lockstep(monkeypatch):
+    """Bytes and instances of many text regions at once: those of the scalar coder, with regions of one symbol or no instance among them."""
+    rnd, some = random.Random(3), []
+    for k in range(80):
+        symbols = [np.zeros((1, rnd.randrange(1, 60)), bool) for _ in range((1, 2, 3, 40, 300)[k % 5])]
+        some.append((sorted((rnd.randrange(90), rnd.randrange((50, 9000)[k % 2]), rnd.randrange(len(symbols))) for _ in range((0, 1, 5, 60)[k % 4])), symbols))
+    want = [coding.encode_text(*s) for s in some]
+    asked = [(d, len(i), np.array([b.shape[1] for b in s])) for d, (i, s) in zip(want, some)]
+    for few, slots in ((0, 5), (24, 30), (24, None)):
+        monkeypatch.setattr(lockstep, "FEW", few)
+        assert lockstep.encode([coding.text_decisions(*s) for s in some], coding.IDS + 512, slots) == want
+        back = lockstep.decode_texts(asked, slots)
+        assert [list(zip(*(v.tolist() for v in b))) for b in back] == [i for i, _ in some]
+
+
+def test_files_are_coded_together(monkeypatch):
+    """The text regions of several files are one call, and the files those of each alone."""
+    rng = np.random.default_rng(9)
+    files = [[(40, 20, [(int(rng.integers(15)), int(rng.integers(30)), rng.random((3, 2 + i % 3)) < 0.6) for i in range(6)]) for _ in range(3)] for _ in range(4)]
+    seen = []
+    monkeypatch.setattr(lockstep, "encode", lambda streams, contexts, f=lockstep.encode: seen.append(len(streams)) or f(streams, contexts))
+    monkeypatch.setattr(lockstep, "decode_texts", lambda streams, f=lockstep.decode_texts: seen.append(len(streams)) or f(streams))
+    data = container.symbol_files(files)
+    back = list(container.read_files(data))
+    assert seen == [12, 12] and data == [container.symbol_document(f) for f in files]
+    for pages_, got in zip(files, back):
+        for (w, h, found), page in zip(pages_, got, strict=True):
+            assert (page == coding.draw(w, h, [(y, x, i) for i, (y, x, _) in enumerate(found)], [b for *_, b in found])).all()
